@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
+from .shared import plus
 from .toxicity import platt, sample
 
 QUAD = 4
@@ -198,4 +199,4 @@ def score(documents: DataFrame, net: ByteNet, text_col: str = "text", score_col:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.scores(*tk.buffers(batch.column(text_at))), pa.float64())], names=[*batch.schema.names, score_col])
 
-    return base.mapInArrow(run, base.schema.add(score_col, "double"))
+    return base.mapInArrow(run, plus(base, **{score_col: "double"}))

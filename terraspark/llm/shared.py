@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII upper case and its lower case: the only letters that the contracts fold.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -50,3 +51,8 @@ def with_columns(df: DataFrame, **columns) -> DataFrame:
 def fold(doc_id, of: int):
     """crc32 of the id's text, modulo: the split that labels are learnt and held out by. A null id is in fold 0."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % of, F.lit(0))
+
+
+def plus(df: DataFrame, **types: str) -> T.StructType:
+    """df's schema and further columns (DDL types)."""
+    return T.StructType([*df.schema.fields, *[T.StructField(k, T._parse_datatype_string(v)) for k, v in types.items()]])

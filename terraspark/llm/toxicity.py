@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .shared import with_columns
+from .shared import plus, with_columns
 
 BUCKETS = 1 << 16
 WIDTH = 6
@@ -268,7 +268,7 @@ def score(documents: DataFrame, model: ConvText, text_col: str = "text", lang_co
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(m.scores(*tk.buffers(batch.column(text_at))), pa.float64())], names=[*batch.schema.names, score_col])
 
-    schema = base.schema.add(score_col, "double")
+    schema = plus(base, **{score_col: "double"})
     scored = base.mapInArrow(run, schema)
     limit = F.lit(model.thresholds.get("", 0.5))
     if lang_col and lang_col in keep:
