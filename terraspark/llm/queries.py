@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, linededup, quality, toxicity
+from . import decontaminate, linededup, quality, simhash, toxicity
 from .shared import fold
 
 
@@ -62,6 +62,10 @@ FROM dw LEFT JOIN hit USING (r) LEFT JOIN it USING (r)
 """
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     net = quality.fit(docs, _table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 3) != 1)
@@ -69,5 +73,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(*_scored(scored, fold(F.col("doc_id"), 3) == 1, 0.5))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op5_decontaminate, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op5_decontaminate, op6_simhash, op10_quality)}
 ORACLES = {"op2_line_dedup": OP2_SQL, "op5_decontaminate": OP5_SQL}
