@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, linededup, quality, simhash, toxicity
+from . import decontaminate, linededup, quality, simhash, substring, toxicity
 from .shared import fold
 
 
@@ -66,6 +66,23 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.dedup_passages(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP8_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT r, i, array_to_string(w[i:i + 34], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+c AS (SELECT g FROM g GROUP BY g HAVING count(*) > 1),
+hit AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM g JOIN c USING (g)),
+kept AS (SELECT w.r, count(*) FILTER (hit.p IS NOT NULL) AS n_removed, string_agg(word, ' ' ORDER BY w.p) FILTER (hit.p IS NULL) AS t
+         FROM (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d) w LEFT JOIN hit ON w.r = hit.r AND w.p = hit.p GROUP BY w.r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     net = quality.fit(docs, _table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 3) != 1)
@@ -73,5 +90,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(*_scored(scored, fold(F.col("doc_id"), 3) == 1, 0.5))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op5_decontaminate, op6_simhash, op10_quality)}
-ORACLES = {"op2_line_dedup": OP2_SQL, "op5_decontaminate": OP5_SQL}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op5_decontaminate, op6_simhash, op8_substring_dedup, op10_quality)}
+ORACLES = {"op2_line_dedup": OP2_SQL, "op5_decontaminate": OP5_SQL, "op8_substring_dedup": OP8_SQL}
