@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, linededup, quality, simhash, substring, toxicity
+from . import decontaminate, linededup, packing, pii, quality, search, sharding, simhash, substring, toxicity
 from .shared import fold
 
 
@@ -41,6 +41,28 @@ FROM m GROUP BY r, doc_id
 """
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op4_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return search.search(docs, docs.where(F.col("doc_id") % 50 == 0))
+
+
+OP4_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+p AS (SELECT r, doc_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT r, doc_id, len(w) AS dl, unnest(w) AS term FROM d) GROUP BY r, doc_id, term),
+n AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+q AS (SELECT DISTINCT doc_id AS query_id, term FROM p WHERE doc_id % 50 = 0),
+s AS (SELECT query_id, r, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))), 9) AS score
+      FROM q JOIN p USING (term) JOIN f USING (term), n GROUP BY query_id, r, doc_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10
+"""
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark").select("item_id", "text"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
@@ -66,6 +88,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id")
+    return sharding.place(docs, ["doc_id"])
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring.dedup_passages(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -83,6 +110,16 @@ FROM d LEFT JOIN kept USING (r)
 """
 
 
+#: For tables without a secret of their own; a deployment sets spark.terraspark.pii.key.
+SAMPLE_KEY = "not-a-secret"
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = spark.conf.get("spark.terraspark.pii.key", SAMPLE_KEY)
+    out = pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), key.encode())
+    return out.select("doc_id", "n_found", F.to_json("kinds").alias("kinds"), "text")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     net = quality.fit(docs, _table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 3) != 1)
@@ -90,5 +127,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(*_scored(scored, fold(F.col("doc_id"), 3) == 1, 0.5))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op5_decontaminate, op6_simhash, op8_substring_dedup, op10_quality)}
-ORACLES = {"op2_line_dedup": OP2_SQL, "op5_decontaminate": OP5_SQL, "op8_substring_dedup": OP8_SQL}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_packing, op4_search, op5_decontaminate, op6_simhash, op7_sharding, op8_substring_dedup, op9_pii, op10_quality)}
+ORACLES = {"op2_line_dedup": OP2_SQL, "op4_search": OP4_SQL, "op5_decontaminate": OP5_SQL, "op8_substring_dedup": OP8_SQL}
