@@ -182,9 +182,9 @@ def fit_rows(texts: list[str], y: np.ndarray, held: np.ndarray) -> ByteNet:
 
 def fit(documents: DataFrame, labels: DataFrame, learn_from, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> ByteNet:
     """Fit on at most max_rows labelled texts of at most max_bytes together, of label rows where learn_from holds."""
-    lab = labels.where(learn_from).select(F.col(id_col).alias("__id"), F.col(label_col).alias("__y"))
-    docs = documents.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    rows = sample(docs.join(lab, "__id"), "__y", "__text", "__id", [], max_rows, max_bytes)
+    lab = labels.where(learn_from).select(F.col(id_col).alias("id"), F.col(label_col).alias("y"))
+    docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = sample(docs, lab, max_rows, max_bytes)
     return fit_rows([r["text"] for r in rows], np.array([r["y"] for r in rows], np.float32), np.array([r["rank"] % 8 == 0 for r in rows], bool))
 
 

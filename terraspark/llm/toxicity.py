@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textkernel as tk
 from .shared import plus, with_columns
@@ -32,16 +33,20 @@ MAX_ROWS, MAX_BYTES = 6000, 48 << 20
 EPOCHS, STEPS, GROUP = 10, 500, 32
 
 
-def sample(labelled: DataFrame, label: str, text: str, id_col: str, extra: list[str], max_rows: int, max_bytes: int) -> list:
-    """Up to max_rows labelled texts of at most max_bytes together, the first by a hash of id and text: the stated bound of what is learnt from.
+def sample(documents: DataFrame, labels: DataFrame, max_rows: int, max_bytes: int) -> list:
+    """Labelled texts to learn from: documents (id, text, ...) of up to max_rows labels (id, y), at most max_bytes together.
 
-    Only ids and lengths are ranked first; texts come to the driver when the bound is known.
+    This is the stated bound of what is learnt from. Which labels are taken is decided by a hash of the id, from the
+    labels alone; those few ids are broadcast, so documents are read where they lie. The texts come to the driver once
+    their sizes are known.
     """
-    df = labelled.where(F.col(label).isNotNull()).select(F.col(id_col).alias("id"), F.col(label).cast("double").alias("y"), F.coalesce(F.col(text), F.lit("")).alias("text"), *extra)
-    df = df.withColumn("rank", F.xxhash64("id", "text"))
-    top = df.select("rank", F.octet_length("text").alias("size")).orderBy("rank", "size").limit(max_rows).collect()
+    top = labels.where(F.col("id").isNotNull() & F.col("y").isNotNull()).select("id", F.col("y").cast("double").alias("y")).distinct().orderBy(F.xxhash64("id"), "y").limit(max_rows).collect()
+    if not top:
+        return []
+    few = documents.sparkSession.createDataFrame([(r["id"], r["y"]) for r in top], T.StructType([T.StructField("id", labels.schema["id"].dataType), T.StructField("y", T.DoubleType())]))
+    df = documents.withColumn("text", F.coalesce("text", F.lit(""))).join(F.broadcast(few), "id").withColumn("rank", F.xxhash64("id", "text"))
     total, last = 0, None
-    for r in top:
+    for r in df.select("rank", F.octet_length("text").alias("size")).orderBy("rank", "size").limit(max_rows).collect():
         total += r["size"]
         if total > max_bytes and last is not None:
             break
@@ -49,7 +54,7 @@ def sample(labelled: DataFrame, label: str, text: str, id_col: str, extra: list[
     if last is None:
         return []
     rows = df.where(F.col("rank") <= last).orderBy("rank").limit(max_rows).collect()
-    return sorted(rows, key=lambda r: (r["rank"], str(r["text"])))
+    return sorted(rows, key=lambda r: (r["rank"], str(r["text"]), r["y"]))
 
 
 @dataclass
@@ -69,7 +74,7 @@ class ConvText:
         h = tk.word_hashes(w)
         p = tk.word_hashes(w, PREFIX)
         m = np.uint64(BUCKETS - 1)
-        return np.stack([(h & m), (h >> np.uint64(40)) & m, (p >> np.uint64(20)) & m], 1).astype(np.int64)
+        return np.stack([(h & m), (h >> np.uint64(40)) & m, (p >> np.uint64(20)) & m], 1).astype(np.int32)
 
     def vectors(self, b: np.ndarray) -> np.ndarray:
         return np.concatenate([t[b[:, i]] for i, t in enumerate(self.tables)], 1)
@@ -121,6 +126,7 @@ def train(texts: list[str], y: np.ndarray, seed: int = 7) -> ConvText:
     for t in range(3):
         seen = np.unique(w.doc * BUCKETS + b[:, t])
         d, k = seen // BUCKETS, seen % BUCKETS
+        del seen
         up, down = (np.bincount(k[pos[d] == c], minlength=BUCKETS) for c in (True, False))
         odds = np.log((up + 0.3) / (pos.sum() + 0.6)) - np.log((down + 0.3) / ((~pos).sum() + 0.6))
         odds[up + down == 0] = 0
@@ -233,9 +239,9 @@ def fit(documents: DataFrame, labels: DataFrame, learn_from, id_col: str = "doc_
     """
     has_lang = lang_col is not None and lang_col in documents.columns
     lang = [F.col(lang_col).alias("lang")] if has_lang else []
-    lab = labels.where(learn_from).select(F.col(id_col).alias("__id"), F.col(label_col).alias("__y"))
-    docs = documents.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), *lang)
-    rows = sample(docs.join(lab, "__id"), "__y", "__text", "__id", ["lang"] if has_lang else [], max_rows, max_bytes)
+    lab = labels.where(learn_from).select(F.col(id_col).alias("id"), F.col(label_col).alias("y"))
+    docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *lang)
+    rows = sample(docs, lab, max_rows, max_bytes)
     return fit_rows([r["text"] for r in rows], np.array([r["y"] for r in rows], np.float32), np.array([r["rank"] % 5 == 0 for r in rows], bool), [r["lang"] if has_lang else None for r in rows])
 
 
