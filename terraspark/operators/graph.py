@@ -28,6 +28,14 @@ def components(links: DataFrame) -> DataFrame:
     def read(path: str) -> DataFrame:
         return spark.read.schema(schema).parquet(path)
 
+    minima: list[str] = []
+
+    def least(df: DataFrame, schema: str) -> DataFrame:
+        """Minima as a table of their own: the join with them can then split a node's many links."""
+        minima.append(new_path(spark, "minima"))
+        df.write.parquet(minima[-1])
+        return spark.read.schema(schema).parquet(minima[-1])
+
     def both(df: DataFrame) -> DataFrame:
         return df.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.u", "e.v")
 
@@ -36,17 +44,18 @@ def components(links: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         # Large star: every larger neighbour of u is linked to the smallest of u and its neighbours.
         two = both(read(path))
-        low = two.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = least(two.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "u long, m long")
         large = two.join(low.hint("merge"), "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").groupBy("a", "b").agg(F.lit(1))
         mid = write(large)
         # Small star: the smaller neighbours of u, and u, are linked to the smallest of them.
         down = read(mid)
-        low = down.groupBy("a").agg(F.min("b").alias("m"))
+        low = least(down.groupBy("a").agg(F.min("b").alias("m")), "a long, m long")
         near = down.join(low.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         small = near.unionByName(low.select("a", F.col("m").alias("b"))).groupBy("a", "b").agg(F.lit(1))
         after = write(small)
-        remove(spark, path)
-        remove(spark, mid)
+        for old in (path, mid, *minima):
+            remove(spark, old)
+        minima.clear()
         path = after
         state = read(path).agg(F.count("a"), F.sum(F.col("b").cast("decimal(38,0)")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:

@@ -147,9 +147,9 @@ def _categories(p):
 _CAT = f"WITH {PLACES}, c AS (SELECT *, [{', '.join(repr(c) for c in CATEGORIES)}][category_ord + 1] AS category FROM places)"
 
 
-@query("flt_06_country", f"WITH {PLACES} SELECT source, key, n_name AS country FROM places JOIN nation ON n_nationkey = nation_key WHERE n_name = 'GERMANY'")
+@query("flt_06_country", f"WITH {PLACES} SELECT source, key, n_name AS country FROM places JOIN nation ON n_nationkey = nation_key WHERE n_name = 'NATION_7'")
 def country(spark, d):
-    n = spark.read.parquet(f"{d}/nation.parquet").where("n_name = 'GERMANY'")
+    n = spark.read.parquet(f"{d}/nation.parquet").where("n_name = 'NATION_7'")
     return places(spark, d).join(F.broadcast(n), F.col("nation_key") == F.col("n_nationkey")).select("source", "key", F.col("n_name").alias("country"))
 
 

@@ -1,8 +1,7 @@
 """Every registered query outside the training-data part, against DuckDB where SQL can express it."""
 
 import pytest
-from compare import same
-from conftest import DATA
+from compare import DATA, same
 
 from terraspark import plans
 
