@@ -185,7 +185,9 @@ def fit(documents: DataFrame, labels: DataFrame, learn_from, id_col: str = "doc_
     lab = labels.where(learn_from).select(F.col(id_col).alias("id"), F.col(label_col).alias("y"))
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = sample(docs, lab, max_rows, max_bytes)
-    return fit_rows([r["text"] for r in rows], np.array([r["y"] for r in rows], np.float32), np.array([r["rank"] % 8 == 0 for r in rows], bool))
+    if rows is None:
+        return train([], np.zeros(0, np.float32))
+    return fit_rows(rows.column("text").to_pylist(), rows.column("y").to_numpy().astype(np.float32), rows.column("rank").to_numpy() % 8 == 0)
 
 
 def score(documents: DataFrame, net: ByteNet, text_col: str = "text", score_col: str = "score") -> DataFrame:

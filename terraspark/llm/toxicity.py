@@ -33,7 +33,7 @@ MAX_ROWS, MAX_BYTES = 6000, 48 << 20
 EPOCHS, STEPS, GROUP = 10, 500, 32
 
 
-def sample(documents: DataFrame, labels: DataFrame, max_rows: int, max_bytes: int) -> list:
+def sample(documents: DataFrame, labels: DataFrame, max_rows: int, max_bytes: int) -> pa.Table | None:
     """Labelled texts to learn from: documents (id, text, ...) of up to max_rows labels (id, y), at most max_bytes together.
 
     This is the stated bound of what is learnt from. Which labels are taken is decided by a hash of the id, from the
@@ -42,7 +42,7 @@ def sample(documents: DataFrame, labels: DataFrame, max_rows: int, max_bytes: in
     """
     top = labels.where(F.col("id").isNotNull() & F.col("y").isNotNull()).select("id", F.col("y").cast("double").alias("y")).distinct().orderBy(F.xxhash64("id"), "y").limit(max_rows).collect()
     if not top:
-        return []
+        return None
     few = documents.sparkSession.createDataFrame([(r["id"], r["y"]) for r in top], T.StructType([T.StructField("id", labels.schema["id"].dataType), T.StructField("y", T.DoubleType())]))
     df = documents.withColumn("text", F.coalesce("text", F.lit(""))).join(F.broadcast(few), "id").withColumn("rank", F.xxhash64("id", "text"))
     total, last = 0, None
@@ -52,9 +52,9 @@ def sample(documents: DataFrame, labels: DataFrame, max_rows: int, max_bytes: in
             break
         last = r["rank"]
     if last is None:
-        return []
-    rows = df.where(F.col("rank") <= last).orderBy("rank").limit(max_rows).collect()
-    return sorted(rows, key=lambda r: (r["rank"], str(r["text"]), r["y"]))
+        return None
+    rows = df.where(F.col("rank") <= last).orderBy("rank").limit(max_rows).toArrow()
+    return rows.sort_by([("rank", "ascending"), ("text", "ascending"), ("y", "ascending")])
 
 
 @dataclass
@@ -118,16 +118,22 @@ def train(texts: list[str], y: np.ndarray, seed: int = 7) -> ConvText:
     if len(y) == 0 or y.min() == y.max():
         model.constant = float(y.mean()) if len(y) else 0.0
         return model
-    arr = pa.array(texts, pa.large_string())
-    data, offs = tk.buffers(arr)
-    w = tk.words(tk.FOLD[data], offs, tk.ALNUM)
-    b = np.concatenate([model.buckets(tk.Words(w.data, w.starts[i : i + 500_000], w.ends[i : i + 500_000], w.doc[i : i + 500_000], w.first)) for i in range(0, max(1, len(w.starts)), 500_000)])
+    data, offs = tk.buffers(pa.array(texts, pa.large_string()))
     pos = y > 0.5
+    parts, counts, seen = [], [np.zeros(0, np.int64)], np.zeros((3, 2, BUCKETS))
+    for i, j in tk.slices(offs):  # by slices, so that only bucket numbers are held of all words
+        w = tk.words(tk.FOLD[data[offs[i] : offs[j]]], offs[i : j + 1] - offs[i], tk.ALNUM)
+        parts.append(model.buckets(w))
+        counts.append(np.diff(w.first))
+        for t in range(3):
+            pair = np.unique(w.doc * BUCKETS + parts[-1][:, t])
+            for c in (0, 1):
+                seen[t, c] += np.bincount((pair % BUCKETS)[pos[i + pair // BUCKETS] == c], minlength=BUCKETS)
+    b = np.concatenate(parts)
+    first = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int64)
+    del data, parts, w
     for t in range(3):
-        seen = np.unique(w.doc * BUCKETS + b[:, t])
-        d, k = seen // BUCKETS, seen % BUCKETS
-        del seen
-        up, down = (np.bincount(k[pos[d] == c], minlength=BUCKETS) for c in (True, False))
+        down, up = seen[t]
         odds = np.log((up + 0.3) / (pos.sum() + 0.6)) - np.log((down + 0.3) / ((~pos).sum() + 0.6))
         odds[up + down == 0] = 0
         table = rng.normal(0, 0.05, (BUCKETS, WIDTH)).astype(np.float32)
@@ -143,7 +149,7 @@ def train(texts: list[str], y: np.ndarray, seed: int = 7) -> ConvText:
     model.shift = float(np.log(pos.mean() / (1 - pos.mean()))) - 1.0
     acc = {"t": [np.full((BUCKETS, 1), 1e-2, np.float32) for _ in range(3)], "o": np.full(total, 1e-2), "s": 1e-2}
     acc |= {k: np.full(v.shape, 1e-2, np.float32) for k, v in model.kernels.items()}
-    lr, first = 0.08, w.first
+    lr = 0.08
     epochs = max(EPOCHS, -(-STEPS * GROUP // len(y)))
     for epoch in range(epochs):
         rate = lr * (1 - epoch / (epochs + 1))
@@ -242,7 +248,9 @@ def fit(documents: DataFrame, labels: DataFrame, learn_from, id_col: str = "doc_
     lab = labels.where(learn_from).select(F.col(id_col).alias("id"), F.col(label_col).alias("y"))
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *lang)
     rows = sample(docs, lab, max_rows, max_bytes)
-    return fit_rows([r["text"] for r in rows], np.array([r["y"] for r in rows], np.float32), np.array([r["rank"] % 5 == 0 for r in rows], bool), [r["lang"] if has_lang else None for r in rows])
+    if rows is None:
+        return fit_rows([], np.zeros(0, np.float32), np.zeros(0, bool), [])
+    return fit_rows(rows.column("text").to_pylist(), rows.column("y").to_numpy().astype(np.float32), rows.column("rank").to_numpy() % 5 == 0, rows.column("lang").to_pylist() if has_lang else [None] * len(rows))
 
 
 def fit_rows(texts: list[str], y: np.ndarray, held: np.ndarray, lang: list[str | None]) -> ConvText:
