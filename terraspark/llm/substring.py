@@ -3,7 +3,8 @@
 Words are what lies between white space, unchanged. A window is `window` consecutive words of a document; windows with
 the same words recur. Every word that a recurring window covers is removed.
 
-1. Anchors. A window's anchor is the least hash among its GRAM-word grams, so equal windows have equal anchors. Anchors
+1. Anchors. A window's anchor is the least hash among its GRAM-word grams (mixed once more, as least hashes are small
+   numbers), so equal windows have equal anchors. Anchors
    that occur twice in the corpus are marked in a bitmap of fixed size, those that occur over CROWD times in a second
    one. A false mark costs time only.
 2. Pieces. Neighbouring windows with the same marked anchor are one piece of text, or a piece each where the anchor is
@@ -73,7 +74,7 @@ def anchors(documents: DataFrame, window: int) -> DataFrame:
                     width = window - GRAM + 1
                     edge = np.zeros(width - 1, np.uint64)
                     found.append(g[sliding(np.concatenate([edge, np.where(inside, m, 0).astype(np.uint64), edge]), width, np.maximum) == g])
-            h, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            h, n = np.unique(tk.mix(np.concatenate(found)), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["anchor", "n"])
 
     return documents.mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
@@ -127,6 +128,7 @@ def pieces(documents: DataFrame, twice: Broadcast, crowded: Broadcast, window: i
                 at = np.flatnonzero(inside)
                 if not len(at):
                     continue
+                m = tk.mix(m)
                 at = at[marked(twice.value, m[at])]
                 hot = marked(crowded.value, m[at])
                 new = np.ones(len(at), bool)
@@ -236,7 +238,8 @@ def dedup_passages(documents: DataFrame, text_col: str = "text", window: int = W
     spans = confirmed(rows.where(~F.col("place")).select("deal", "p1", "p2", "text", "n"), window)
     places = rows.where("place").select("t1", "t2", "p1", "p2", F.col("n").alias("at"))
     hit = places.join(spans.hint("merge"), ["p1", "p2"]).select("t1", "t2", F.transform("spans", _shifted(F.col("at"))).alias("spans"))
-    covers = hit.groupBy("t1", "t2").agg(F.flatten(F.collect_list("spans")).alias("__spans"))
+    # A table of its own, so that the join below can split the rows of a text that very many documents share.
+    covers = materialise(hit.groupBy("t1", "t2").agg(F.flatten(F.collect_set("spans")).alias("__spans")), "covers")
     base = documents.select(F.struct("*").alias("__all"), text.alias("__text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"))
     joined = base.join(covers.hint("merge"), ["t1", "t2"], "left").select("__all", "__text", "__spans")
     done = joined.select("__text", "__spans", "__all").mapInArrow(_cut, plus(joined.select("__all"), __kept="string", __n="long", __gone="long"))
