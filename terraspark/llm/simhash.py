@@ -170,7 +170,7 @@ def _groups(rows: DataFrame) -> DataFrame:
     found = materialise(links(classes.select("fp")), "simhash-links")
     roots = components(found)
     joined = classes.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    low = joined.groupBy("root").agg(F.min("least").alias("__component"), F.min("fp").alias("__first"))
+    low = materialise(joined.groupBy("root").agg(F.min("least").alias("__component"), F.min("fp").alias("__first")), "simhash-groups")
     return joined.join(low.hint("merge"), "root").select("fp", "__component", "__first")
 
 
