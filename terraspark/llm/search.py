@@ -5,12 +5,12 @@ word's 64-bit hash. The index is a table of postings by shard and term. Numbers
 document frequencies are global. A query is all distinct words of its text; its score for a document is the BM25 sum
 (k1, b) over them.
 
-In each shard a query's terms are ordered by upper bound (inverse document frequency times largest impact in the
-shard). Lists are added up from the front until the bounds of those behind, the pivot onward, could not lift a new
-document over the k-th best so far. From there on only documents already met are candidates. Each further list is
-judged by the maxima of its blocks of BLOCK postings first: a candidate that its block cannot lift over the threshold is
-dropped before a posting is read. What remains is scored exactly from the documents' own term lists. The k best of all
-shards are merged.
+In each shard a query's short lists are added up. Its long ones (of over one document in LONG) are ordered by upper
+bound (inverse document frequency times largest impact in the shard) and added from the front until the bounds of
+those behind, the pivot onward, could not lift a new document over the k-th best so far, which is carried from shard to
+shard. From there on only documents already met are candidates. They are judged by the maxima of the remaining lists
+over blocks of BLOCK documents, and those that cannot reach the threshold are dropped before a posting is read. What
+remains is scored exactly from the documents' own term lists. Each task's best are merged.
 
 Queries run in blocks of bounded size, each broadcast to all shards.
 
@@ -37,49 +37,53 @@ TOP = 10
 #: A shard has about this many documents; one with more than MOST documents or postings is cut.
 SHARD_DOCS, MOST_DOCS, MOST_POSTINGS = 16_384, 24_576, 6_000_000
 BLOCK = 64
+#: A list of over one document in so many is long.
+LONG = 8
 #: Terms of the queries in one broadcast (16 bytes each).
 QUERY_TERMS = 2_000_000
-#: Postings that are added before the threshold is looked at, and by how much that grows.
-FIRST, FASTER = 16_384, 4
 
 
 def bags(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(document, term, frequency) of documents, sorted by document and term; and their lengths in words."""
     w = tk.words(tk.FOLD[data], offs, tk.ALNUM)
     h = tk.word_hashes(w)
-    order = np.lexsort((h, w.doc))
+    order = np.argsort(h)
+    order = order[np.argsort(w.doc[order].astype(np.uint16 if len(offs) < 65_536 else np.int64), kind="stable")]
     doc, term = w.doc[order], h[order]
     first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (term[1:] != term[:-1])])) if len(doc) else np.zeros(0, np.int64)
     return doc[first].astype(np.int32), term[first], np.diff(np.concatenate([first, [len(doc)]])).astype(np.int32), np.diff(w.first)
 
 
 def build(documents: DataFrame, id_col: str, text_col: str, count: int) -> DataFrame:
-    """The index: rows (shard, term, ids, docs, freqs) of postings, and one row without a term a shard for ids and lengths of its documents."""
+    """The index: rows (shard, term, n, docs, freqs) of postings, docs and freqs as packed int32; and one row without a term a shard for ids and lengths of its documents."""
     base = documents.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    schema = "shard long, term long, ids array<long>, docs array<int>, freqs array<int>"
+    schema = "shard long, term long, n long, ids array<long>, docs binary, freqs binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        made, parts, ids, lens, total = 0, [], [], [], 0
+        made, parts, ids, lens, total = 0, ([], [], []), [], [], 0
 
         def finish() -> Iterator[pa.RecordBatch]:
             nonlocal made, total
             shard = (TaskContext.get().partitionId() << 20) + made
             made += 1
-            every = pa.array([ids], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.nulls(1, pa.int64()), every, pa.array([np.concatenate(lens)], pa.list_(pa.int32())), pa.nulls(1, pa.list_(pa.int32()))], names=["shard", "term", "ids", "docs", "freqs"])
-            doc, term, freq = (np.concatenate([p[i] for p in parts]) for i in range(3))
-            parts.clear()
+            size = np.concatenate(lens)
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.nulls(1, pa.int64()), pa.array([int(size.sum())]), pa.array([ids], pa.list_(pa.int64())), pa.array([size.astype(np.int32).tobytes()], pa.binary()), pa.nulls(1, pa.binary())], names=NAMES)
+            term = np.concatenate(parts[1])
+            parts[1].clear()
             order = np.argsort(term, kind="stable")
-            doc, term, freq = doc[order], term[order], freq[order]
+            term = term[order]
+            doc, freq = (_taken(parts[i], order) for i in (0, 2))
+            del order
             first = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.zeros(0, np.int64)
             edge = np.concatenate([first, [len(term)]])
             for a in range(0, len(first), 20_000):
                 e = edge[a : a + 20_001]
                 n = len(e) - 1
-                lists = [pa.ListArray.from_arrays(pa.array((e - e[0]).astype(np.int32)), pa.array(x[e[0] : e[-1]])) for x in (doc, freq)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard)), pa.array(term[e[:-1]].view(np.int64)), pa.nulls(n, pa.list_(pa.int64())), *lists], names=["shard", "term", "ids", "docs", "freqs"])
+                at = pa.py_buffer(((e - e[0]) * 4).astype(np.int32))
+                lists = [pa.BinaryArray.from_buffers(pa.binary(), n, [None, at, pa.py_buffer(np.ascontiguousarray(x[e[0] : e[-1]]))]) for x in (doc, freq)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard)), pa.array(term[e[:-1]].view(np.int64)), pa.array(np.diff(e)), pa.nulls(n, pa.list_(pa.int64())), *lists], names=NAMES)
             ids.clear()
             lens.clear()
             total = 0
@@ -91,42 +95,81 @@ def build(documents: DataFrame, id_col: str, text_col: str, count: int) -> DataF
                 doc, term, freq, size = bags(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
                 if ids and (len(ids) + b - a > MOST_DOCS or total + len(doc) > MOST_POSTINGS):
                     yield from finish()
-                parts.append((doc + np.int32(len(ids)), term, freq))
+                for part, x in zip(parts, (doc + np.int32(len(ids)), term, freq), strict=True):
+                    part.append(x)
                 ids.extend(every[a:b])
                 lens.append(size.astype(np.int32))
                 total += len(doc)
         if ids:
             yield from finish()
+        pa.default_memory_pool().release_unused()
 
     return base.coalesce(max(1, -(-count // SHARD_DOCS))).mapInArrow(run, schema)
 
 
+NAMES = ["shard", "term", "n", "ids", "docs", "freqs"]
+
+
+def _taken(parts: list[np.ndarray], order: np.ndarray) -> np.ndarray:
+    """The parts as one array in this order; they are let go."""
+    whole = np.concatenate(parts)
+    parts.clear()
+    return whole[order]
+
+
 @dataclass
 class Shard:
+    """Postings by term (sorted), with frequencies; norm is each document's part of the BM25 denominator.
+
+    Impacts are kept in single precision, which only decides what is looked at; scores come from the frequencies. A
+    long list (of over one document in LONG) is also laid out by document, with maxima of its blocks.
+    """
+
     ids: list[int | None]
     terms: np.ndarray
     edge: np.ndarray
     docs: np.ndarray
-    impact: np.ndarray
+    freqs: np.ndarray
+    norm: np.ndarray
 
     def __post_init__(self) -> None:
-        n = np.diff(self.edge)
-        #: Blocks of BLOCK postings of each list: where a list's begin, each one's last document and largest impact.
-        count = -(-n // BLOCK)
-        self.block_edge = np.concatenate([[0], np.cumsum(count)])
-        start = np.repeat(self.edge[:-1], count) + BLOCK * (np.arange(self.block_edge[-1]) - np.repeat(self.block_edge[:-1], count))
-        stop = np.minimum(start + BLOCK, np.repeat(self.edge[1:], count))
-        self.block_last = self.docs[stop - 1] if len(stop) else self.docs[:0]
-        self.block_max = np.maximum.reduceat(self.impact, start) if len(start) else self.impact[:0]
-        self.list_max = np.maximum.reduceat(self.block_max, self.block_edge[:-1]) if len(n) else self.impact[:0]
-        order = np.argsort(self.docs, kind="stable")
-        self.own_impact = self.impact[order]
+        n, docs = np.diff(self.edge), len(self.ids)
+        self.impact = self.freqs.astype(np.float32)
+        for a in range(0, len(self.docs), 1 << 20):
+            part = self.impact[a : a + (1 << 20)]
+            part *= np.float32(K1 + 1) / (part + self.norm[self.docs[a : a + (1 << 20)]].astype(np.float32))
+        self.list_max = np.maximum.reduceat(self.impact, self.edge[:-1]) if len(n) else self.impact[:0]
+        long = np.flatnonzero(n > docs / LONG)
+        self.row = np.full(len(n), -1)
+        self.row[long] = np.arange(len(long))
+        self.blocks = -(-docs // BLOCK)
+        self.by_doc = np.zeros((len(long), self.blocks * BLOCK), np.float32)
+        for r, t in enumerate(long.tolist()):
+            a, b = self.edge[t], self.edge[t + 1]
+            self.by_doc[r, self.docs[a:b]] = self.impact[a:b]
+        self.block_max = self.by_doc.reshape(len(long), self.blocks, BLOCK).max(2)
+        self.of_doc = np.ascontiguousarray(self.by_doc.T)
+        order = np.argsort(self.docs.astype(np.uint16) if docs < 65_536 else self.docs, kind="stable")
+        self.own_freq = self.freqs[order]
+        del self.freqs
         self.own_term = np.repeat(np.arange(len(n), dtype=np.int32), n)[order]
-        self.own_edge = np.concatenate([[0], np.cumsum(np.bincount(self.docs, minlength=len(self.ids)))])
+        del order
+        self.own_edge = np.concatenate([[0], np.cumsum(np.bincount(self.docs, minlength=docs))])
         self.weight = np.zeros(len(n))
 
-    def search(self, terms: np.ndarray, idf: np.ndarray, k: int) -> list[tuple[int, float]]:
-        """The k best (document, score) of this shard; more only where scores tie."""
+    def _add(self, acc: np.ndarray, t: np.ndarray, w: np.ndarray) -> None:
+        """Add the lists of these terms to the documents' scores."""
+        row = self.row[t]
+        short = np.flatnonzero(row < 0)
+        if len(short):
+            ends = list(zip(self.edge[t[short]].tolist(), self.edge[t[short] + 1].tolist(), strict=True))
+            weight = np.repeat(w[short], [b - a for a, b in ends])
+            acc += np.bincount(np.concatenate([self.docs[a:b] for a, b in ends]), np.concatenate([self.impact[a:b] for a, b in ends]) * weight, len(acc))
+        if len(short) < len(t):
+            acc += w[row >= 0].astype(np.float32) @ self.by_doc[row[row >= 0], : len(acc)]
+
+    def search(self, terms: np.ndarray, idf: np.ndarray, k: int, floor: float = 0.0) -> list[tuple[int, float]]:
+        """The k best (document, score) of this shard that reach `floor`; more only where scores tie."""
         if not len(self.terms):
             return []
         at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
@@ -135,70 +178,76 @@ class Shard:
         if not len(at):
             return []
         bound = idf * self.list_max[at]
-        order = np.argsort(-bound, kind="stable")
-        t, w, bound = at[order], idf[order], bound[order]
+        if bound.sum() < floor - 1e-6:
+            return []
+        long = self.row[at] >= 0
+        order = np.argsort(-bound[long], kind="stable")
+        t, w, bound = at[long][order], idf[long][order], bound[long][order]
         rest = np.concatenate([np.cumsum(bound[::-1])[::-1], [0.0]])
-        size = self.edge[t + 1] - self.edge[t]
-        upto = np.cumsum(size)
-        n, acc, best, i, step = len(self.ids), None, 0.0, 0, FIRST
-        while i < len(t):
-            j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + step, "right")))
-            m = size[i:j]
-            p = np.arange(m.sum()) + np.repeat(self.edge[t[i:j]] - (np.cumsum(m) - m), m)
-            got = np.bincount(self.docs[p], self.impact[p] * np.repeat(w[i:j], m), n)
-            acc = got if acc is None else acc + got
-            i, step = j, step * FASTER
-            best = np.partition(acc, n - k)[n - k] if n > k else 0.0
-            if best > rest[i]:
-                break
-        slack = 1e-7
+        n, slack = len(self.ids), 1e-6 + 1e-5 * rest[0]
+        acc = np.zeros(n)
+        self._add(acc, at[~long], idf[~long])
+        best = floor if floor > 0 or n <= k else np.partition(acc, n - k)[n - k]
+        i = 0
+        while rest[i] > best:
+            # The pivot: from here on, lists could not lift a new document over the k-th best.
+            pivot = int(np.searchsorted(-rest, -best)) if best > 0 else len(t)
+            j = pivot if floor > 0 else min(pivot, max(i + 1, i + (pivot - i) // 2))
+            self._add(acc, t[i:j], w[i:j])
+            i = j
+            if n > k:
+                best = max(best, np.partition(acc, n - k)[n - k])
         found = np.flatnonzero((acc > 0) & (acc + rest[i] >= best - slack))
-        score = acc[found]
-        for x in range(i, len(t)):
-            if len(found) <= 4 * k:
-                break
-            a, b = self.block_edge[t[x]], self.block_edge[t[x] + 1]
-            block = np.searchsorted(self.block_last[a:b], found)
-            most = np.where(block < b - a, self.block_max[a + np.minimum(block, b - a - 1)], 0.0) * w[x]
-            live = score + most + rest[x + 1] >= best - slack
-            found, score, most = found[live], score[live], most[live]
-            lo, hi = self.edge[t[x]], self.edge[t[x] + 1]
-            read = np.flatnonzero(most > 0)
-            where = lo + np.searchsorted(self.docs[lo:hi], found[read])
-            hit = (where < hi) & (self.docs[np.minimum(where, hi - 1)] == found[read])
-            score[read[hit]] += self.impact[where[hit]] * w[x]
-            if len(score) > k:
-                best = max(best, np.partition(score, len(score) - k)[len(score) - k])
-                live = score + rest[x + 1] >= best - slack
-                found, score = found[live], score[live]
-        self.weight[t] = w
+        if i < len(t) and len(found) > k:
+            row, by = self.row[t[i:]], w[i:].astype(np.float32)
+            # Blocks first: what their maxima cannot lift over the threshold is not looked at.
+            most = by @ self.block_max[row]
+            found = found[acc[found] + most[found // BLOCK] >= best - slack]
+            every = np.zeros(len(self.by_doc), np.float32)
+            every[row] = by
+            near = acc[found] + self.of_doc[found] @ every
+            if len(found) > k:
+                best = max(best, np.partition(near, len(near) - k)[len(near) - k] - slack)
+            found = found[near >= best - slack]
+        if not len(found):
+            return []
+        self.weight[at] = idf
         m = self.own_edge[found + 1] - self.own_edge[found]
         p = np.arange(m.sum()) + np.repeat(self.own_edge[found] - (np.cumsum(m) - m), m)
-        exact = np.round(np.add.reduceat(self.own_impact[p] * self.weight[self.own_term[p]], np.cumsum(m) - m), 9) if len(found) else score
-        self.weight[t] = 0
+        f = self.own_freq[p].astype(np.float64)
+        part = self.weight[self.own_term[p]] * f * (K1 + 1) / (f + np.repeat(self.norm[found], m))
+        exact = np.round(np.add.reduceat(part, np.cumsum(m) - m), 9)
+        self.weight[at] = 0
+        if floor > 0:
+            keep = exact >= floor
+            found, exact = found[keep], exact[keep]
         if len(exact) > k:
             keep = exact >= np.partition(exact, len(exact) - k)[len(exact) - k]
             found, exact = found[keep], exact[keep]
         return list(zip(found.tolist(), exact.tolist(), strict=True))
 
 
-def _load(table: pa.Table, mean: float) -> Shard:
-    about = table.filter(pa.compute.is_null(table.column("term"))).to_pylist()[0]
-    lens = np.array(about["docs"], np.float64)
-    post = table.filter(pa.compute.is_valid(table.column("term"))).combine_chunks()
-    docs, freqs = (post.column(c).combine_chunks() for c in ("docs", "freqs"))
-    docs = docs.chunk(0) if isinstance(docs, pa.ChunkedArray) else docs
-    freqs = freqs.chunk(0) if isinstance(freqs, pa.ChunkedArray) else freqs
-    terms = post.column("term").to_numpy().view(np.uint64)
-    n = np.asarray(pa.compute.list_value_length(docs)).astype(np.int64)
-    edge = np.concatenate([[0], np.cumsum(n)])
-    d, f = docs.flatten().to_numpy(), freqs.flatten().to_numpy()
-    order = np.argsort(terms, kind="stable")
-    if (order[1:] < order[:-1]).any():
-        p = np.arange(edge[-1]) + np.repeat(edge[order] - (np.cumsum(n[order]) - n[order]), n[order])
-        d, f, terms, edge = d[p], f[p], terms[order], np.concatenate([[0], np.cumsum(n[order])])
-    norm = K1 * (1 - B + B * lens / mean)
-    return Shard(about["ids"], terms, edge, d, f * (K1 + 1) / (f + norm[d]))
+def _packed(column: pa.Array) -> np.ndarray:
+    """The int32 numbers of all values of a binary column, one value after another."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(np.int32) if len(column) and data is not None else np.zeros(0, np.int32)
+
+
+def _load(batches: list[pa.RecordBatch], mean: float) -> Shard:
+    """A shard of its index rows, which come sorted by term; the batches are let go as they are read."""
+    ids, lens, parts = [], np.zeros(0), []
+    batches.reverse()
+    while batches:
+        batch = batches.pop()
+        about = batch.column("term").null_count  # the row about the documents comes first
+        for r in batch.slice(0, about).to_pylist():
+            ids, lens = r["ids"], np.frombuffer(r["docs"], np.int32).astype(np.float64)
+        post = batch.slice(about)
+        parts.append((post.column("term").to_numpy(), post.column("n").to_numpy(), _packed(post.column("docs")), _packed(post.column("freqs"))))
+    terms, n, docs, freqs = (np.concatenate([p[i] for p in parts]) for i in range(4))
+    parts.clear()
+    return Shard(ids, terms, np.concatenate([[0], np.cumsum(n)]), docs, freqs, K1 * (1 - B + B * lens / mean))
 
 
 def search(documents: DataFrame, queries: DataFrame, k: int = TOP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -206,21 +255,23 @@ def search(documents: DataFrame, queries: DataFrame, k: int = TOP, id_col: str =
     spark = documents.sparkSession
     count = documents.count()
     index = materialise(build(documents, id_col, text_col, count), "search-index")
-    total = index.where("term IS NULL").agg(F.sum(F.size("ids")), F.sum(F.aggregate("docs", F.lit(0).cast("long"), lambda a, x: a + x)), F.count("shard")).first()
+    total = index.where("term IS NULL").agg(F.sum(F.size("ids")), F.sum("n"), F.count("shard")).first()
     schema = T.StructType([T.StructField(n, T._parse_datatype_string(t)) for n, t in (("query_id", "long"), ("doc_id", "long"), ("score", "double"))])
     if not total[0] or not total[1]:
         return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
     n, mean, shards = int(total[0]), total[1] / total[0], int(total[2])
-    df = index.where("term IS NOT NULL").groupBy("term").agg(F.sum(F.size("docs")).alias("df"))
+    df = index.where("term IS NOT NULL").groupBy("term").agg(F.sum("n").alias("df"))
     asked = queries.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("query_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).dropDuplicates(["query_id"])
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = materialise(_terms(asked).join(df.hint("merge"), "term").groupBy("query_id").agg(F.collect_list(F.struct("term", idf.alias("idf"))).alias("terms")), "search-queries")
     blocks = max(1, -(-(weighed.agg(F.sum(F.size("terms"))).first()[0] or 0) // QUERY_TERMS))
     best = None
-    dealt = index.repartition(shards, "shard")
+    # As many tasks as there are cores: each takes its shards in turn, and what it has found so far is the threshold for the next.
+    tasks = min(shards, max(1, spark.sparkContext.defaultParallelism))
+    dealt = index.repartitionByRange(tasks, "shard").sortWithinPartitions("shard", "term")
     for x in range(blocks):
         rows = weighed.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == x).select("query_id", "terms.term", "terms.idf").toArrow()
-        block = spark.sparkContext.broadcast([(q, np.array(t.as_py(), np.int64).view(np.uint64), np.array(w.as_py())) for q, t, w in zip(rows.column(0).to_pylist(), rows.column(1), rows.column(2), strict=True)])
+        block = spark.sparkContext.broadcast([(q, t.values.to_numpy(), w.values.to_numpy()) for q, t, w in zip(rows.column(0).to_pylist(), rows.column(1), rows.column(2), strict=True)])
         found = dealt.mapInArrow(_searcher(block, k, mean), schema)
         if blocks > 1:
             found = materialise(found, "search-block")
@@ -246,17 +297,31 @@ def _terms(asked: DataFrame) -> DataFrame:
 
 def _searcher(block, k: int, mean: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[pa.RecordBatch]] = {}
+        best: dict[int, list[tuple[float, int | None]]] = {}
+        held: list[pa.RecordBatch] = []
+        order = lambda h: (-h[0], h[1] is None, h[1] or 0)
+
+        def finish() -> None:
+            shard = _load(held, mean)
+            for q, terms, idf in block.value:
+                mine = best.get(q, [])
+                hits = shard.search(terms, idf, k, mine[-1][0] if len(mine) == k else 0.0)
+                if hits:
+                    best[q] = sorted(mine + [(v, shard.ids[d]) for d, v in hits if v > 0], key=order)[:k]
+
         for batch in batches:
             shard = batch.column(0).to_numpy()
-            for s in np.unique(shard).tolist():
-                held.setdefault(s, []).append(batch.filter(pa.array(shard == s)))
-        for s in sorted(held):
-            shard = _load(pa.Table.from_batches(held.pop(s)), mean)
-            rows = []
-            for q, terms, idf in block.value:
-                hits = sorted(((shard.ids[d], v) for d, v in shard.search(terms, idf, k)), key=lambda h: (-h[1], h[0] is None, h[0] or 0))
-                rows += [(q, d, v) for d, v in hits[:k] if v > 0]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "doc_id", "score"])
+            edge = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+            for a, b in zip(edge, edge[1:]):
+                if a < b:
+                    if held and held[-1].column(0)[0].as_py() != shard[a]:
+                        finish()
+                    held.append(batch.slice(a, b - a))
+        if held:
+            finish()
+        pa.default_memory_pool().release_unused()
+        rows = [(q, d, v) for q, hits in best.items() for v, d in hits]
+        for a in range(0, len(rows), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[a : a + 100_000]], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "doc_id", "score"])
 
     return run
