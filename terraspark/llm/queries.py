@@ -47,7 +47,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return search.search(docs, docs.where(F.col("doc_id") % 50 == 0))
+    return search.search(docs, docs.where(F.col("doc_id") % 50 == 0)).withColumn("score", F.round("score", 6))
 
 
 OP4_SQL = """
@@ -58,7 +58,7 @@ f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
 q AS (SELECT DISTINCT doc_id AS query_id, term FROM p WHERE doc_id % 50 = 0),
 s AS (SELECT query_id, r, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))), 9) AS score
       FROM q JOIN p USING (term) JOIN f USING (term), n GROUP BY query_id, r, doc_id)
-SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, round(score, 6) AS score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10
 """
 
