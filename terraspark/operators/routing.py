@@ -76,11 +76,10 @@ def shortest_paths(requests: DataFrame, edges: DataFrame) -> DataFrame:
     """(request, src, dst, distance_m, time_ds, path) for requests (request, src, dst) on weighted edges.
 
     path are the nodes on the way. Distance and time are without penalties. A request from a node to itself has zeros;
-    one that can't be met has nulls. edges beyond MOST_EDGES raise an error: relax() is for those.
+    one that can't be met has nulls. Edges beyond MOST_EDGES aren't broadcast: relax() finds the paths then.
     """
-    n = edges.count()
-    if n > MOST_EDGES:
-        raise ValueError(f"{n} edges are too many to broadcast; use relax()")
+    if edges.count() > MOST_EDGES:
+        return _relaxed_paths(requests, edges)
     t = edges.toPandas()
     graph = Graph.of(*(t[c].to_numpy() for c in ("src", "dst", "cost", "distance_m", "time_ds")))
     shared = requests.sparkSession.sparkContext.broadcast(graph)
@@ -109,28 +108,33 @@ def shortest_paths(requests: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def relax(origins: DataFrame, edges: DataFrame, most_rounds: int = 10_000) -> DataFrame:
-    """(origin, node, cost) from every origin (origin) to all nodes it reaches, for graphs of any size.
+    """(origin, node, cost, path) from every origin (origin) to all nodes it reaches, for graphs of any size.
 
-    Each round only what improved in the one before moves on, and all origins advance together.
+    Each round only what improved in the one before moves on, and all origins advance together. Of ways of equal cost
+    the one with the lower nodes stays.
     """
     spark = origins.sparkSession
-    schema = "origin long, node long, cost long"
+    schema = "origin long, node long, cost long, path array<long>"
 
     def write(df: DataFrame) -> str:
         path = new_path(spark, "relax")
-        df.select("origin", "node", "cost").write.parquet(path)
+        df.select("origin", "node", "cost", "path").write.parquet(path)
         return path
 
+    def least(df: DataFrame) -> DataFrame:
+        return df.groupBy("origin", "node").agg(F.min(F.struct("cost", "path")).alias("b")).select("origin", "node", "b.cost", "b.path")
+
     read = lambda path: spark.read.schema(schema).parquet(path)
-    start = origins.select(F.col("origin").cast("long"), F.col("origin").cast("long").alias("node"), F.lit(0).cast("long").alias("cost")).distinct()
-    known = front = write(start)
+    o = F.col("origin").cast("long")
+    known = front = write(origins.select(o.alias("origin"), o.alias("node"), F.lit(0).cast("long").alias("cost"), F.array(o).alias("path")).distinct())
+    out = edges.groupBy("src", "dst").agg(F.min("cost").alias("by")).withColumnRenamed("src", "node")
     for _ in range(most_rounds):
-        step = read(front).join(edges.select(F.col("src").alias("node"), "dst", F.col("cost").alias("by")), "node").groupBy("origin", F.col("dst").alias("node")).agg(F.min(F.col("cost") + F.col("by")).alias("cost"))
-        had = read(known).withColumnRenamed("cost", "had")
-        better = write(step.join(had, ["origin", "node"], "left").where("had IS NULL OR cost < had"))
+        moved = read(front).join(out, "node").select("origin", F.col("dst").alias("node"), (F.col("cost") + F.col("by")).alias("cost"), F.concat("path", F.array("dst")).alias("path"))
+        had = read(known).select("origin", "node", F.col("cost").alias("had"))
+        better = write(least(moved).join(had, ["origin", "node"], "left").where("had IS NULL OR cost < had"))
         if read(better).isEmpty():
             break
-        merged = write(read(known).unionByName(read(better)).groupBy("origin", "node").agg(F.min("cost").alias("cost")))
+        merged = write(least(read(known).unionByName(read(better))))
         if front != known:
             remove(spark, front)
         remove(spark, known)
@@ -138,6 +142,19 @@ def relax(origins: DataFrame, edges: DataFrame, most_rounds: int = 10_000) -> Da
     return read(known)
 
 
+def _relaxed_paths(requests: DataFrame, edges: DataFrame) -> DataFrame:
+    """shortest_paths() by relax(); lengths are those of the least costly edge between two nodes."""
+    asked = requests.select("request", F.col("src").cast("long"), F.col("dst").cast("long"))
+    found = relax(asked.select(F.col("src").alias("origin")).where("origin IS NOT NULL").distinct(), edges)
+    hit = asked.join(found.select(F.col("origin").alias("src"), F.col("node").alias("dst"), "path"), ["src", "dst"], "left")
+    pairs = F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.struct(F.get("path", i - 1).alias("a"), F.get("path", i).alias("b")))
+    legs = hit.where("size(path) > 1").select("request", F.explode(pairs).alias("leg")).select("request", F.col("leg.a").alias("src"), F.col("leg.b").alias("dst"))
+    one = edges.groupBy("src", "dst").agg(F.min_by(F.struct("distance_m", "time_ds"), F.struct("cost", "distance_m")).alias("e"))
+    sums = legs.join(one, ["src", "dst"]).groupBy("request").agg(F.sum("e.distance_m").alias("distance_m"), F.sum("e.time_ds").alias("time_ds"))
+    zero = F.when(F.size("path") == 1, F.lit(0).cast("long"))
+    return hit.join(sums, "request", "left").select("request", "src", "dst", F.coalesce("distance_m", zero).alias("distance_m"), F.coalesce("time_ds", zero).alias("time_ds"), "path")
+
+
 def matrix(origins: DataFrame, destinations: DataFrame, edges: DataFrame) -> DataFrame:
     """(origin, destination, distance_m, duration_s) for all pairs of origins and destinations (name, node_id); nulls where either has no node or there is no way. Seconds are cut off."""
     o = origins.select(F.col("name").alias("origin"), F.col("node_id").alias("src"))

@@ -108,6 +108,18 @@ def test_relaxation_agrees_with_search(spark):
     assert {k: v for k, v in want.items()} == {k: v for k, v in got.items() if k in want} and set(want) <= set(got)
 
 
+def test_paths_of_graphs_that_are_not_broadcast(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(int(a), int(b), int(c), int(c) * 2, int(c)) for a, b, c in zip(rng.integers(0, 20, 60), rng.integers(0, 20, 60), rng.integers(1, 50, 60), strict=True) if a != b]
+    asked = spark.createDataFrame([(f"{a}-{b}", a, b) for a in (0, 3) for b in range(21)] + [("none", None, 4)], "request string, src long, dst long")
+    small = {r.request: r for r in routing.shortest_paths(asked, _edges(spark, rows)).collect()}
+    monkeypatch.setattr(routing, "MOST_EDGES", 1)
+    large = {r.request: r for r in routing.shortest_paths(asked, _edges(spark, rows)).collect()}
+    assert set(small) == set(large)
+    for k, r in small.items():
+        assert (r.time_ds, r.distance_m, r.path is None) == (large[k].time_ds, large[k].distance_m, large[k].path is None)
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 200, (110, 2))] + [(i, i + 1) for i in range(500, 560)] + [(900, 900)]
