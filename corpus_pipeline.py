@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraspark.llm import decontaminate, linededup, packing, simhash, toxicity
+from terraspark.llm import decontaminate, linededup, packing, similar, toxicity
 from terraspark.llm.shared import fold, materialise
 
 
@@ -23,8 +23,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints stays, that of the smallest id."""
-    return simhash.keep_one(docs)
+    """One document of each group of linked fingerprints stays, that of the smallest id; of those, one of each group at or above similarity 0.8 over 5-word shingles."""
+    return similar.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
