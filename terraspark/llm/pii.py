@@ -7,6 +7,10 @@ format's domain and permuted there by a keyed Feistel network with cycle walking
 valid again (check digits are made anew), and equal values get equal pseudonyms in every document, however they are
 punctuated. The key alone can turn them back (reveal=True).
 
+A card or account number may stand next to other digits or words that its pattern takes in. Where the longest match is
+not valid, the other starts and ends at its groups are tried (the longest from the leftmost start first), and what is
+behind the start of a match that fails is searched again.
+
 Domains: card and account digits but the check digits; days of 1900 to 2099 (day first, and month first only where that alone is a date); 2**32 addresses; ten phone digits; letters
 and digits of an e-mail's local part and of a secret, each within its class.
 
@@ -122,10 +126,15 @@ def _spread(form: str, digits: str) -> str:
     return "".join(next(it) if c.isdigit() else c for c in form)
 
 
-def _card(f: Feistel, s: str, back: bool) -> str | None:
+def _card_ok(s: str) -> bool:
     d = re.sub(r"\D", "", s)
-    if not 13 <= len(d) <= 19 or luhn(d[:-1]) != int(d[-1]) or len(set(d)) == 1:
+    return 13 <= len(d) <= 19 and luhn(d[:-1]) == int(d[-1]) and len(set(d)) > 1
+
+
+def _card(f: Feistel, s: str, back: bool) -> str | None:
+    if not _card_ok(s):
         return None
+    d = re.sub(r"\D", "", s)
     body = f.digits(d[:-1], b"card", back)
     return _spread(s, body + str(luhn(body)))
 
@@ -179,9 +188,14 @@ def _iban_check(body: str, country: str) -> str:
     return f"{98 - n % 97:02d}"
 
 
-def _iban(f: Feistel, s: str, back: bool) -> str | None:
+def _iban_ok(s: str) -> bool:
+    """Valid by check digits, and of its country's length where that is known."""
     d = s.replace(" ", "")
-    if not 15 <= len(d) <= 34 or _iban_check(d[4:], d[:2]) != d[2:4]:
+    return re.match("[A-Z]{2}[0-9]{2}", d) is not None and 15 <= len(d) <= 34 and len(d) == IBAN_LENGTHS.get(d[:2], len(d)) and _iban_check(d[4:], d[:2]) == d[2:4]
+
+
+def _iban(f: Feistel, s: str, back: bool) -> str | None:
+    if not 15 <= len(d := s.replace(" ", "")) <= 34 or _iban_check(d[4:], d[:2]) != d[2:4]:
         return None
     body = f.letters(d[4:], b"iban", back)
     it = iter(d[:2] + _iban_check(body, d[:2]) + body)
@@ -197,6 +211,39 @@ def _secret(f: Feistel, s: str, back: bool) -> str | None:
     return f.letters(s, b"secret", back)
 
 
+#: Length of the account numbers of a country.
+IBAN_LENGTHS = {c: int(n) for n, cs in (x.split(":") for x in "15:NO 16:BE 18:DK,FI,FK,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA 23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM 28:AL,AZ,BY,CY,DO,GT,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU".split()) for c in cs.split(",")}
+GROUPS = {"card": re.compile(rb"[0-9]+"), "iban": re.compile(rb"[0-9A-Z]+")}
+#: The run of groups that a card may be part of: card numbers one after another, too.
+RUN = re.compile(rb"[0-9]+(?:[ -][0-9]+)*")
+RUN_LAST = re.compile(rb"[0-9]+\Z")
+_GLUED = frozenset(b".0123456789" + _LOWER.encode() + _UPPER.encode())
+ALNUM = frozenset(b"0123456789" + _LOWER.encode() + _UPPER.encode())
+
+
+def _within(raw: bytes, a: int, b: int, kind: str) -> Iterator[tuple[int, int, str]]:
+    """Spans of whole groups in raw[a:b] that are valid cards or account numbers, from the left and without overlap."""
+    spans = [(m.start() + a, m.end() + a) for m in GROUPS[kind].finditer(raw[a:b])]
+    i = 0
+    while i < len(spans):
+        found, size = None, 0
+        for j in range(i, len(spans)):
+            size += spans[j][1] - spans[j][0]
+            if size > (19 if kind == "card" else 34):
+                break
+            if size >= (13 if kind == "card" else 15):
+                value = raw[spans[i][0] : spans[j][1]].decode("latin-1")
+                # What hyphens join is parted only in numbers written with hyphens throughout.
+                parted = (spans[i][0] > a and raw[spans[i][0] - 1] == 45) or (j + 1 < len(spans) and raw[spans[j][1]] == 45)
+                if (_card_ok(value) if kind == "card" else _iban_ok(value)) and not (parted and " " in value):
+                    found = j
+        if found is None:
+            i += 1
+        else:
+            yield spans[i][0], spans[found][1], kind
+            i = found + 1
+
+
 MAKERS: dict[str, Callable[[Feistel, str, bool], str | None]] = {"card": _card, "phone": _phone, "ssn": _ssn, "ip": _ip, "date": _date, "iban": _iban, "email": _email, "secret": _secret}
 
 
@@ -210,12 +257,29 @@ def candidates(raw: bytes) -> Iterator[tuple[int, int, str]]:
         if left and right:
             yield left.start(), right.end(), "email"
         at = raw.find(b"@", at + 1)
-    for m in IBAN.finditer(raw):
-        yield *m.span(), "iban"
     pos = 0
+    while m := IBAN.search(raw, pos):
+        whole = m[0].decode("latin-1").replace(" ", "")
+        if _iban_check(whole[4:], whole[:2]) == whole[2:4]:
+            yield *m.span(), "iban"
+            pos = m.end()
+        else:
+            inner = list(_within(raw, *m.span(), "iban"))
+            yield from inner
+            # A number may begin inside a match that fails and go on behind it.
+            pos = inner[-1][1] if inner else m.start() + 4
+    pos = done = 0
     while m := STARTS.search(raw, pos):
         pos = m.start()
-        if found := NUMBERS.match(raw, pos):
+        found = NUMBERS.match(raw, pos)
+        if found and found["card"] and not _card_ok(found[0].decode("latin-1")):
+            found = None  # what is in it comes with its run
+        run = RUN.match(raw, pos) if not found and pos >= done and (pos == 0 or raw[pos - 1] not in _GLUED) else None
+        if run and run.end() - pos >= 13:
+            # Cards at other groups of the run; each run is searched once.
+            done = run.end()
+            yield from _within(raw, pos, done - (done < len(raw) and raw[done] in ALNUM and len(RUN_LAST.search(run[0])[0])), "card")
+        if found:
             yield *found.span(), next(k for k in ("phone", "ssn", "date", "ip", "card") if found[k])
             pos = found.end()
         else:
