@@ -178,20 +178,22 @@ class Shard:
         if not len(at):
             return []
         bound = idf * self.list_max[at]
-        if bound.sum() < floor - 1e-6:
+        # Sums of impacts are of single precision, thresholds may be exact: whatever they are held against has this slack.
+        slack = 1e-6 + 1e-5 * (floor + bound.sum())
+        if bound.sum() < floor - slack:
             return []
         long = self.row[at] >= 0
         order = np.argsort(-bound[long], kind="stable")
         t, w, bound = at[long][order], idf[long][order], bound[long][order]
         rest = np.concatenate([np.cumsum(bound[::-1])[::-1], [0.0]])
-        n, slack = len(self.ids), 1e-6 + 1e-5 * rest[0]
+        n = len(self.ids)
         acc = np.zeros(n)
         self._add(acc, at[~long], idf[~long])
         best = floor if floor > 0 or n <= k else np.partition(acc, n - k)[n - k]
         i = 0
-        while rest[i] > best:
-            # The pivot: from here on, lists could not lift a new document over the k-th best.
-            pivot = int(np.searchsorted(-rest, -best)) if best > 0 else len(t)
+        while rest[i] >= best - slack and i < len(t):
+            # The pivot: from here on, lists could not lift a new document to the k-th best.
+            pivot = int(np.searchsorted(-rest, slack - best, "right")) if best > slack else len(t)
             j = pivot if floor > 0 else min(pivot, max(i + 1, i + (pivot - i) // 2))
             self._add(acc, t[i:j], w[i:j])
             i = j
