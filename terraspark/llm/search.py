@@ -15,7 +15,8 @@ remains is scored exactly from the documents' own term lists. Each task's best a
 Queries run in blocks of bounded size, each broadcast to all shards.
 
 Defined cases: rows without words are never found and find nothing; scores are above 0. Ties (scores equal to nine
-places) go by id, null ids last. Repeated rows are documents each. Null query ids are no queries.
+places) go by id, null ids last. Repeated rows are documents each. Null query ids are no queries; rows of
+one query id ask together, with the words of all their texts.
 """
 
 from __future__ import annotations
@@ -263,7 +264,8 @@ def search(documents: DataFrame, queries: DataFrame, k: int = TOP, id_col: str =
         return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
     n, mean, shards = int(total[0]), total[1] / total[0], int(total[2])
     df = index.where("term IS NOT NULL").groupBy("term").agg(F.sum("n").alias("df"))
-    asked = queries.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("query_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).dropDuplicates(["query_id"])
+    asked = queries.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("query_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    asked = asked.groupBy("query_id").agg(F.concat_ws("\n", F.collect_set("text")).alias("text"))
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = materialise(_terms(asked).join(df.hint("merge"), "term").groupBy("query_id").agg(F.collect_list(F.struct("term", idf.alias("idf"))).alias("terms")), "search-queries")
     blocks = max(1, -(-(weighed.agg(F.sum(F.size("terms"))).first()[0] or 0) // QUERY_TERMS))

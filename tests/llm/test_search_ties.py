@@ -40,3 +40,13 @@ def test_a_tie_with_the_threshold_is_found():
             idf = rng.uniform(3, 9, words)
             (_, score), = shard.search(terms, idf, 1)
             assert shard.search(terms, idf, 1, score) == [(0, score)]
+
+
+def test_rows_of_one_id_ask_together(spark):
+    rows = [(50, "alpha beta"), (50, "gamma"), (50, "gamma"), (1, "alpha one"), (2, "gamma two"), (3, "delta")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in search.search(df, df.where("doc_id = 50")).collect()]
+    assert {d for _, _, d, _ in got} == {50, 1, 2}
+    # As one row of all their words asks.
+    one = spark.createDataFrame([(50, "alpha beta gamma")], "doc_id long, text string")
+    assert sorted(got) == sorted(tuple(r) for r in search.search(df, one).collect())
