@@ -107,12 +107,13 @@ def browse(requests: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def starts_with(places: DataFrame, requests: DataFrame, limit: int = 10) -> DataFrame:
-    """Real completion, beside search: names that have a word beginning with the request's text. Words are indexed by all their prefixes up to the longest asked."""
+    """Real completion, beside search: names that have a word beginning with the request's text. Words are indexed by their prefixes of up to 24 characters; what is asked beyond them is compared."""
     asked = requests.select("request", F.lower(F.trim("q")).alias("prefix")).where("prefix <> ''")
     words = places.select("doc_id", "name", F.explode(F.array_distinct(text.tokens("name"))).alias("word"))
     most = F.least(F.char_length("word"), F.lit(24))
-    prefixes = words.select("doc_id", "name", F.explode(F.transform(F.sequence(F.lit(1), most), lambda n: F.substring("word", F.lit(1), n))).alias("prefix"))
-    hit = asked.join(prefixes.distinct(), "prefix")
+    prefixes = words.select("doc_id", "name", "word", F.explode(F.transform(F.sequence(F.lit(1), most), lambda n: F.substring("word", F.lit(1), n))).alias("prefix"))
+    hit = asked.withColumn("asked", F.col("prefix")).withColumn("prefix", F.substring("prefix", 1, 24)).join(prefixes.distinct(), "prefix").where(F.startswith("word", "asked"))
+    hit = hit.select("request", "doc_id", "name").distinct()
     return _ranked(hit, ["name", "doc_id"], "rank").where(F.col("rank") <= limit).select("request", "rank", "doc_id", "name")
 
 
