@@ -5,8 +5,9 @@ responses are averaged and maximised over overlapping chunks of CHUNK bytes that
 learned layer turns each chunk's summary into features, whose maxima over all chunks give one probability.
 
 Defined cases: null and empty texts are one chunk of padding and get its score; with labels of one class only, every
-score is the share of positives (0.5 without labels). Repeated rows are scored each. Columns that clash with an
-output's name are replaced.
+score is the share of positives (0.5 without labels). Repeated rows are scored each. Texts of any length are scored
+whole, long ones in parts; labelled texts of over toxicity.MAX_TEXT bytes are not learnt from. Columns that clash with
+an output's name are replaced.
 """
 
 from __future__ import annotations
@@ -21,14 +22,17 @@ from pyspark.sql import functions as F
 
 from . import textkernel as tk
 from .shared import plus
-from .toxicity import platt, sample
+from .toxicity import fitted, platt, sample
 
 QUAD = 4
 #: A block is 16 quads; a chunk is 4 blocks and begins every 3 blocks, so neighbours share one.
 BLOCK, BLOCKS, HOP = 64, 4, 3
 CHUNK = BLOCK * BLOCKS
 DIMS, FILTERS, FEATURES = 6, 16, 24
+#: Bounds of the labelled sample: rows and bytes together (and of a text, see toxicity.MAX_TEXT).
 MAX_ROWS, MAX_BYTES = 6000, 48 << 20
+#: Bytes that are scored at once.
+PART = 1 << 18
 EPOCHS, STEPS, GROUP = 6, 800, 16
 
 
@@ -98,21 +102,36 @@ class ByteNet:
         docs = len(offs) - 1
         if self.constant is not None:
             return np.full(docs, self.constant)
-        z = np.empty(docs)
-        for a, b in tk.slices(offs, 1 << 18):
-            raw, first = padded(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
-            z[a:b] = np.maximum.reduceat(self.chunk_features(raw, first), first[:-1], axis=0) @ self.out + self.shift
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        f = np.empty((docs, len(self.out)), np.float32)
+        step = HOP * BLOCK * (PART // (HOP * BLOCK))
+        for a, b in tk.slices(offs, PART):
+            lo, hi = int(offs[a]), int(offs[b])
+            if b == a + 1 and hi - lo > step:
+                # A long text goes by parts of whole chunks, which share a block with the next part.
+                f[a] = 0
+                for i in range(lo, hi, step):
+                    part = data[i : min(i + step + BLOCK * (BLOCKS - HOP), hi)]
+                    if i > lo and len(part) <= BLOCK * (BLOCKS - HOP):
+                        break  # the part before has seen these bytes
+                    raw, first = padded(part, np.array([0, len(part)]))
+                    np.maximum(f[a], self.chunk_features(raw, first).max(0), out=f[a])
+                continue
+            raw, first = padded(data[lo:hi], offs[a : b + 1] - lo)
+            f[a:b] = np.maximum.reduceat(self.chunk_features(raw, first), first[:-1], axis=0)
+        return 1 / (1 + np.exp(-np.clip((f @ self.out).astype(np.float64) + self.shift, -30, 30)))
 
 
 def train(texts: list[str], y: np.ndarray, seed: int = 11) -> ByteNet:
-    """Adam on the log loss. A document's maxima come from few chunks; only those are gone back through."""
+    return trained(*tk.buffers(pa.array(texts, pa.large_string())), np.arange(len(y)), y, seed)
+
+
+def trained(data: np.ndarray, offs: np.ndarray, members: np.ndarray, y: np.ndarray, seed: int = 11) -> ByteNet:
+    """Adam on the log loss over these members, whose labels are y. A document's maxima come from few chunks; only those are gone back through."""
     rng = np.random.default_rng(seed)
     net = ByteNet.new(rng)
     if len(y) == 0 or y.min() == y.max():
         net.constant = float(y.mean()) if len(y) else 0.5
         return net
-    data, offs = tk.buffers(pa.array(texts, pa.large_string()))
     net.shift = float(np.log(y.mean() / (1 - y.mean())))
     names = ("embed", "kernel", "bias", "mid", "mid_bias", "out")
     mom = {k: (np.zeros_like(getattr(net, k)), np.zeros_like(getattr(net, k))) for k in names}
@@ -122,7 +141,7 @@ def train(texts: list[str], y: np.ndarray, seed: int = 11) -> ByteNet:
     for _ in range(epochs):
         for group in np.array_split(rng.permutation(len(y)), max(1, len(y) // GROUP)):
             step += 1
-            parts = [data[offs[i] : offs[i + 1]] for i in group]
+            parts = [data[offs[i] : offs[i + 1]] for i in members[group]]
             raw, first = padded(np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])]))
             f = net.chunk_features(raw, first)
             arg = np.stack([first[i] + f[first[i] : first[i + 1]].argmax(0) for i in range(len(group))])
@@ -172,10 +191,16 @@ def train(texts: list[str], y: np.ndarray, seed: int = 11) -> ByteNet:
 
 def fit_rows(texts: list[str], y: np.ndarray, held: np.ndarray) -> ByteNet:
     """Fit on the rows that aren't held, then set slope and shift of the logit by those that are."""
+    return _calibrated(*tk.buffers(pa.array(texts, pa.large_string())), y, held)
+
+
+def _calibrated(data: np.ndarray, offs: np.ndarray, y: np.ndarray, held: np.ndarray) -> ByteNet:
+    every = np.arange(len(y))
     if not 0 < y[held].sum() < held.sum() or not 0 < y[~held].sum() < (~held).sum():
-        return train(texts, y)
-    net = train([t for t, h in zip(texts, held, strict=True) if not h], y[~held])
-    a, c = platt(net.scores(*tk.buffers(pa.array([t for t, h in zip(texts, held, strict=True) if h], pa.large_string()))), y[held])
+        return trained(data, offs, every, y)
+    net = trained(data, offs, every[~held], y[~held])
+    score = np.concatenate([net.scores(data[offs[i] : offs[i + 1]], np.array([0, offs[i + 1] - offs[i]])) for i in every[held]])
+    a, c = platt(score, y[held])
     net.out, net.shift = net.out * np.float32(a), net.shift * a + c
     return net
 
@@ -187,7 +212,12 @@ def fit(documents: DataFrame, labels: DataFrame, learn_from, id_col: str = "doc_
     rows = sample(docs, lab, max_rows, max_bytes)
     if rows is None:
         return train([], np.zeros(0, np.float32))
-    return fit_rows(rows.column("text").to_pylist(), rows.column("y").to_numpy().astype(np.float32), rows.column("rank").to_numpy() % 8 == 0)
+
+    def learn(t: pa.Table) -> ByteNet:
+        column = t.column("text").cast(pa.large_string()).combine_chunks()
+        return _calibrated(*tk.buffers(column), t.column("y").to_numpy().astype(np.float32), t.column("rank").to_numpy() % 8 == 0)
+
+    return fitted(rows, learn)
 
 
 def score(documents: DataFrame, net: ByteNet, text_col: str = "text", score_col: str = "score") -> DataFrame:

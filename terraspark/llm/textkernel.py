@@ -1,7 +1,7 @@
 """Words, word hashes and window hashes of Arrow text columns, computed in numpy over raw UTF-8 bytes.
 
-A batch is handled in slices of about SLICE bytes (a longer text is one slice), so that temporaries stay
-bounded. Null texts have no bytes.
+A batch is handled in slices of about SLICE bytes, so that temporaries stay bounded. A longer text is one slice; who
+can work on parts of a text takes them by parts(). Null texts have no bytes.
 """
 
 from __future__ import annotations
@@ -51,6 +51,25 @@ def slices(offs: np.ndarray, budget: int = SLICE) -> Iterator[tuple[int, int]]:
         a = min(b, n)
 
 
+def parts(data: np.ndarray, offs: np.ndarray, kind: np.ndarray, budget: int = SLICE) -> Iterator[tuple[int, int, int, int]]:
+    """(first document, document after, first byte, byte after): groups of whole documents, and of a document of over budget bytes several parts of it, between whose words they are cut."""
+    for a, b in slices(offs, budget):
+        lo, end = int(offs[a]), int(offs[b])
+        if b > a + 1 or end - lo <= budget:
+            yield a, b, lo, end
+            continue
+        while lo < end:
+            cut = min(lo + budget, end)
+            while cut < end:
+                gap = np.flatnonzero(~kind[data[cut : min(cut + budget, end)]])
+                if len(gap):
+                    cut += int(gap[0])
+                    break
+                cut = min(cut + budget, end)
+            yield a, b, lo, cut
+            lo = cut
+
+
 @dataclass
 class Words:
     """Words of consecutive documents: byte range, document, and the first word of each document (n + 1)."""
@@ -89,11 +108,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def _places(n: int) -> np.ndarray:
-    global _PLACE
-    if n > len(_PLACE):
-        _PLACE = np.concatenate([_PLACE, mix(np.arange(len(_PLACE), max(n, 2 * len(_PLACE)), dtype=np.uint64)) | np.uint64(1)])
-    return _PLACE
+def _places(a: int, b: int) -> np.ndarray:
+    """Factors of the bytes at places a to b - 1 of a word."""
+    if b <= len(_PLACE):
+        return _PLACE[a:b]
+    return np.concatenate([_PLACE[a:b], mix(np.arange(max(a, len(_PLACE)), b, dtype=np.uint64)) | np.uint64(1)])
 
 
 def word_hashes(w: Words, longest: int | None = None) -> np.ndarray:
@@ -103,11 +122,19 @@ def word_hashes(w: Words, longest: int | None = None) -> np.ndarray:
     out = np.empty(len(w.starts), np.uint64)
     size = np.minimum(w.ends - w.starts, longest) if longest else w.ends - w.starts
     upto = np.cumsum(size)
-    for a, b in slices(np.concatenate([[0], upto]), 1 << 18):
+    step = 1 << 18
+    for a, b in slices(np.concatenate([[0], upto]), step):
         k = size[a:b]
+        if k[0] > step:  # a word of more bytes than a slice is summed up piece by piece
+            total, lo = int(k[0]), int(w.starts[a])
+            for i in range(0, int(k[0]), step):
+                j = min(i + step, int(k[0]))
+                total += int((_BYTE[w.data[lo + i : lo + j]] * _places(i, j)).sum(dtype=np.uint64))
+            out[a] = total & _MASK
+            continue
         base = np.cumsum(k) - k
         at = np.arange(int(k.sum())) - np.repeat(base, k)
-        place = _places(int(k.max()))
+        place = _places(0, int(k.max()))
         out[a:b] = np.add.reduceat(_BYTE[w.data[np.repeat(w.starts[a:b], k) + at]] * place[at], base) + k.astype(np.uint64)
     return mix(out)
 

@@ -7,12 +7,14 @@ largest response goes into a logistic output. Decision thresholds are calibrated
 
 Defined cases: null and empty texts, and texts without a word, get the score of all-zero features; with labels of one
 class only, every score is the share of positives (0 without labels). Repeated rows are scored each. A label row whose
-id has several documents is learnt with each of them. Columns that clash with an output's name are replaced.
+id has several documents is learnt with each of them; labelled texts of over MAX_TEXT bytes are not learnt from. Texts
+of any length are scored whole, long ones in parts. Columns that clash with an output's name are replaced.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,29 +24,32 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as tk
-from .shared import plus, with_columns
+from .shared import materialise, plus, with_columns
 
 BUCKETS = 1 << 16
 WIDTH = 6
 FILTERS = {1: 16, 2: 8, 3: 8}
 PREFIX = 6
-#: Bounds of the labelled sample that the model is fitted on.
-MAX_ROWS, MAX_BYTES = 6000, 48 << 20
+#: Bounds of the labelled sample that the model is fitted on: rows, bytes together, and bytes of a text.
+MAX_ROWS, MAX_BYTES, MAX_TEXT = 6000, 48 << 20, 1 << 18
+#: Bytes that are scored at once; a longer text is scored in parts of so many.
+PART = 1 << 18
 EPOCHS, STEPS, GROUP = 10, 500, 32
 
 
-def sample(documents: DataFrame, labels: DataFrame, max_rows: int, max_bytes: int) -> pa.Table | None:
-    """Labelled texts to learn from: documents (id, text, ...) of up to max_rows labels (id, y), at most max_bytes together.
+def sample(documents: DataFrame, labels: DataFrame, max_rows: int, max_bytes: int, max_text: int = MAX_TEXT) -> DataFrame | None:
+    """(rank, text, y, ...) to learn from: documents (id, text, ...) of up to max_rows labels (id, y), at most max_bytes together and max_text each.
 
     This is the stated bound of what is learnt from. Which labels are taken is decided by a hash of the id, from the
-    labels alone; those few ids are broadcast, so documents are read where they lie. The texts come to the driver once
-    their sizes are known.
+    labels alone; those few ids are broadcast, so documents are read where they lie. The driver sees ids and sizes of
+    the sample; its texts lie in the shared folder.
     """
     top = labels.where(F.col("id").isNotNull() & F.col("y").isNotNull()).select("id", F.col("y").cast("double").alias("y")).distinct().orderBy(F.xxhash64("id"), "y").limit(max_rows).collect()
     if not top:
         return None
     few = documents.sparkSession.createDataFrame([(r["id"], r["y"]) for r in top], T.StructType([T.StructField("id", labels.schema["id"].dataType), T.StructField("y", T.DoubleType())]))
-    df = documents.withColumn("text", F.coalesce("text", F.lit(""))).join(F.broadcast(few), "id").withColumn("rank", F.xxhash64("id", "text"))
+    df = documents.withColumn("text", F.coalesce("text", F.lit(""))).where(F.octet_length("text") <= max_text)
+    df = df.join(F.broadcast(few), "id").withColumn("rank", F.xxhash64("id", "text"))
     total, last = 0, None
     for r in df.select("rank", F.octet_length("text").alias("size")).orderBy("rank", "size").limit(max_rows).collect():
         total += r["size"]
@@ -53,8 +58,23 @@ def sample(documents: DataFrame, labels: DataFrame, max_rows: int, max_bytes: in
         last = r["rank"]
     if last is None:
         return None
-    rows = df.where(F.col("rank") <= last).orderBy("rank").limit(max_rows).toArrow()
-    return rows.sort_by([("rank", "ascending"), ("text", "ascending"), ("y", "ascending")])
+    return materialise(df.where(F.col("rank") <= last).orderBy("rank").limit(max_rows).drop("id"), "sample")
+
+
+def fitted(rows: DataFrame, learn: Callable[[pa.Table], object]) -> object:
+    """What learn makes of the sample, in one task that reads it from the shared folder; only the model comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if held:
+            table = pa.Table.from_batches(held).sort_by([("rank", "ascending"), ("text", "ascending"), ("y", "ascending")])
+            held.clear()
+            model = pickle.dumps(learn(table))
+            del table
+            pa.default_memory_pool().release_unused()
+            yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
+
+    return pickle.loads(rows.coalesce(1).mapInArrow(run, "model binary").first()["model"])
 
 
 @dataclass
@@ -92,46 +112,76 @@ class ConvText:
             out.append(y + self.bias[k])
         return np.concatenate(out, 1)
 
-    def pooled(self, x: np.ndarray, w: tk.Words) -> np.ndarray:
+    def pooled(self, x: np.ndarray, first: np.ndarray) -> np.ndarray:
         """The largest response of each filter by document, at least 0."""
-        docs = len(w.first) - 1
-        p = np.zeros((docs, len(self.out)), np.float32)
-        has = np.flatnonzero(np.diff(w.first))
+        size = np.diff(first)
+        p = np.zeros((len(size), len(self.out)), np.float32)
+        has = np.flatnonzero(size)
         if len(has):
-            p[has] = np.maximum(np.maximum.reduceat(self.maps(x, w.doc), w.first[has], axis=0), 0)
+            p[has] = np.maximum(np.maximum.reduceat(self.maps(x, np.repeat(np.arange(len(size)), size)), first[has], axis=0), 0)
         return p
 
     def scores(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         docs = len(offs) - 1
         if self.constant is not None:
             return np.full(docs, self.constant)
-        z = np.empty(docs)
-        for a, b in tk.slices(offs, 1 << 18):
-            w = tk.words(tk.FOLD[data[offs[a] : offs[b]]], offs[a : b + 1] - offs[a], tk.ALNUM)
-            z[a:b] = self.pooled(self.vectors(self.buckets(w)), w) @ self.out + self.shift
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        p = np.zeros((docs, len(self.out)), np.float32)
+        behind, none = max(self.kernels) - 1, np.zeros((0, 3), np.int32)
+        tail = none
+        for a, b, lo, hi in tk.parts(data, offs, tk.ALNUM, PART):
+            if b == a + 1 and hi - lo < offs[b] - offs[a]:
+                # A part of a long text: windows that begin in its last words are looked at with what follows.
+                w = tk.words(tk.FOLD[data[lo:hi]], np.array([0, hi - lo]), tk.ALNUM)
+                x = np.concatenate([tail, self.buckets(w)])
+                last = hi == offs[b]
+                tail = none if last else x[max(0, len(x) - behind) :]
+                take = len(x) if last else max(0, len(x) - behind)
+                if take:
+                    np.maximum(p[a], self.maps(self.vectors(x), np.zeros(len(x), np.int64))[:take].max(0), out=p[a])
+            else:
+                w = tk.words(tk.FOLD[data[lo:hi]], offs[a : b + 1] - lo, tk.ALNUM)
+                p[a:b] = self.pooled(self.vectors(self.buckets(w)), w.first)
+        return self.judged(p)
+
+    def judged(self, p: np.ndarray) -> np.ndarray:
+        """Scores of pooled responses."""
+        return 1 / (1 + np.exp(-np.clip((p @ self.out).astype(np.float64) + self.shift, -30, 30)))
+
+
+def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket numbers of all words, and the first word of each document (n + 1); taken by slices, as only these are held of all words."""
+    found, counts = [np.zeros((0, 3), np.int32)], np.zeros(len(offs) - 1, np.int64)
+    for a, b, lo, hi in tk.parts(data, offs, tk.ALNUM):
+        whole = b > a + 1 or hi - lo == offs[b] - offs[a]
+        w = tk.words(tk.FOLD[data[lo:hi]], offs[a : b + 1] - lo if whole else np.array([0, hi - lo]), tk.ALNUM)
+        found.append(ConvText.buckets(w))
+        counts[a:b] += np.diff(w.first)
+    return np.concatenate(found), np.concatenate([[0], np.cumsum(counts)])
 
 
 def train(texts: list[str], y: np.ndarray, seed: int = 7) -> ConvText:
-    """Adagrad on the log loss, EPOCHS times over the rows or STEPS groups of them; embeddings begin at each bucket's class log odds, and only what a pooled maximum came from is updated."""
+    return trained(*features(*tk.buffers(pa.array(texts, pa.large_string()))), np.arange(len(y)), y, seed)
+
+
+def trained(b: np.ndarray, first: np.ndarray, rows: np.ndarray, y: np.ndarray, seed: int = 7) -> ConvText:
+    """Learn from these rows of the features, whose labels are y.
+
+    Adagrad on the log loss, EPOCHS times over the rows or STEPS groups of them; embeddings begin at each bucket's class
+    log odds, and only what a pooled maximum came from is updated.
+    """
     model, rng = ConvText(), np.random.default_rng(seed)
     if len(y) == 0 or y.min() == y.max():
         model.constant = float(y.mean()) if len(y) else 0.0
         return model
-    data, offs = tk.buffers(pa.array(texts, pa.large_string()))
-    pos = y > 0.5
-    parts, counts, seen = [], [np.zeros(0, np.int64)], np.zeros((3, 2, BUCKETS))
-    for i, j in tk.slices(offs):  # by slices, so that only bucket numbers are held of all words
-        w = tk.words(tk.FOLD[data[offs[i] : offs[j]]], offs[i : j + 1] - offs[i], tk.ALNUM)
-        parts.append(model.buckets(w))
-        counts.append(np.diff(w.first))
+    pos, seen = y > 0.5, np.zeros((3, 2, BUCKETS))
+    for i in range(0, len(rows), 64):
+        some = rows[i : i + 64]
+        where = np.concatenate([np.arange(first[r], first[r + 1]) for r in some])
+        doc = np.repeat(np.arange(len(some)), first[some + 1] - first[some])
         for t in range(3):
-            pair = np.unique(w.doc * BUCKETS + parts[-1][:, t])
+            pair = np.unique(doc * BUCKETS + b[where, t])
             for c in (0, 1):
                 seen[t, c] += np.bincount((pair % BUCKETS)[pos[i + pair // BUCKETS] == c], minlength=BUCKETS)
-    b = np.concatenate(parts)
-    first = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int64)
-    del data, parts, w
     for t in range(3):
         down, up = seen[t]
         odds = np.log((up + 0.3) / (pos.sum() + 0.6)) - np.log((down + 0.3) / ((~pos).sum() + 0.6))
@@ -156,8 +206,9 @@ def train(texts: list[str], y: np.ndarray, seed: int = 7) -> ConvText:
         order = rng.permutation(len(y))
         for group in np.array_split(order, max(1, len(order) // GROUP)):
             p, arg = np.zeros((len(group), total), np.float32), np.zeros((len(group), total), np.int64)
-            where = np.concatenate([np.arange(first[i], first[i + 1]) for i in group])
-            doc = np.repeat(np.arange(len(group)), first[group + 1] - first[group])
+            mine = rows[group]
+            where = np.concatenate([np.arange(first[i], first[i + 1]) for i in mine])
+            doc = np.repeat(np.arange(len(group)), first[mine + 1] - first[mine])
             x = model.vectors(b[where])
             m = model.maps(x, doc)
             edge = np.searchsorted(doc, np.arange(len(group) + 1))
@@ -250,19 +301,33 @@ def fit(documents: DataFrame, labels: DataFrame, learn_from, id_col: str = "doc_
     rows = sample(docs, lab, max_rows, max_bytes)
     if rows is None:
         return fit_rows([], np.zeros(0, np.float32), np.zeros(0, bool), [])
-    return fit_rows(rows.column("text").to_pylist(), rows.column("y").to_numpy().astype(np.float32), rows.column("rank").to_numpy() % 5 == 0, rows.column("lang").to_pylist() if has_lang else [None] * len(rows))
+
+    def learn(t: pa.Table) -> ConvText:
+        names = t.column("lang").to_pylist() if has_lang else [None] * len(t)
+        y, held = t.column("y").to_numpy().astype(np.float32), t.column("rank").to_numpy() % 5 == 0
+        b, first = features(*tk.buffers(t.column("text").cast(pa.large_string()).combine_chunks()))
+        return _calibrated(b, first, y, held, names)
+
+    return fitted(rows, learn)
 
 
 def fit_rows(texts: list[str], y: np.ndarray, held: np.ndarray, lang: list[str | None]) -> ConvText:
     """Fit on rows that are here; held marks those that calibrate."""
-    model = train(texts, y)
-    first = train([t for t, x in zip(texts, held, strict=True) if not x], y[~held]) if held.any() else model
+    return _calibrated(*features(*tk.buffers(pa.array(texts, pa.large_string()))), y, held, lang)
+
+
+def _calibrated(b: np.ndarray, first: np.ndarray, y: np.ndarray, held: np.ndarray, lang: list[str | None]) -> ConvText:
+    every = np.arange(len(y))
+    model = trained(b, first, every, y)
+    before = trained(b, first, every[~held], y[~held]) if held.any() else model
     model.thresholds = {"": 0.5}
     if held.any():
-        kept = [t for t, x in zip(texts, held, strict=True) if x]
-        score = first.scores(*tk.buffers(pa.array(kept, pa.large_string())))
+        if before.constant is not None:
+            score = np.full(int(held.sum()), before.constant)
+        else:
+            score = before.judged(np.concatenate([before.pooled(before.vectors(b[first[i] : first[i + 1]]), np.array([0, first[i + 1] - first[i]])) for i in every[held]]))
         a, c = platt(score, y[held]) if 0 < y[held].sum() < held.sum() else (1.0, 0.0)
-        if model.constant is None and first.constant is None:
+        if model.constant is None and before.constant is None:
             model.out, model.shift = model.out * np.float32(a), model.shift * a + c
             z = np.log(score / (1 - score)) * a + c
             score = 1 / (1 + np.exp(-z))
