@@ -7,6 +7,11 @@ Candidates are exact (prefix filter): all shingles have one order, and two sets
 the first n - LEAST * n + 1 of each. The order puts shingles that a sample of documents repeats last, so entries stay
 small; what it is decides cost alone. Candidates are verified on their whole sets. Shingles are compared by 64-bit hash.
 
+A dense group is not compared pair by pair (connections): first each document is verified against its neighbour in every
+entry, which links a group whose members are alike with as many comparisons as it has entries. Only documents that are
+not connected then are compared with each other. Entries of over CROWD documents are cut into blocks, and every two
+blocks are compared by a task of their own.
+
 Defined cases: a text of fewer words than a shingle is one shingle; texts without words link to none here. The smallest
 id of a group stays, rows without an id only where the group has none.
 """
@@ -32,6 +37,8 @@ LEAST = (4, 5)
 SAMPLE, REPEATED = 16_384, 500_000
 #: Keys up to which a table of them is broadcast.
 FEW = 1_000_000
+#: Documents of an entry that are compared in one task; entries up to SMALL are compared by vector operations over all of them.
+CROWD, SMALL = 4096, 32
 
 
 def shingles(data: np.ndarray, offs: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -105,37 +112,125 @@ def _entries(rows: DataFrame, shingle: int) -> DataFrame:
     return rows.mapInArrow(run, "shingle long, key long, n int, pos int")
 
 
-def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates (a, b) of entries that come sorted by shingle and n; only a shingle's rows are held over."""
-    rest = [np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int32)]
+def _near_enough(n: np.ndarray, left: np.ndarray, m: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Whether sets of n and m shingles can be similar that share at most `left` and `right` of them."""
+    num, den = LEAST
+    return (den * np.minimum(n, m) >= num * np.maximum(n, m)) & ((num + den) * np.minimum(left, right) >= num * (n + m))
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of entries sorted by shingle, those of shingles that more than one row has; prev is the key before, where the two can be similar. One row is held over."""
+    rest = None
+
+    def emit(cols: list[np.ndarray], last: bool) -> pa.RecordBatch:
+        s, key, n, pos, before = cols
+        same = s[1:] == s[:-1]
+        more = np.concatenate([before[:1], same])
+        size = n.astype(np.int64)
+        near = np.concatenate([[False], same & (key[1:] != key[:-1]) & _near_enough(size[1:], (size - pos)[1:], size[:-1], (size - pos)[:-1])])
+        take = more | np.concatenate([same, [False]])
+        if not last:
+            take[-1] = False
+        prev = pa.array(np.concatenate([key[:1], key[:-1]]), mask=~near)
+        rows = [pa.array(x) for x in (s, key, n, pos)]
+        return pa.RecordBatch.from_arrays([*rows, prev], names=ENTRY).filter(pa.array(take))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(c).to_numpy() for c in range(4)]
+        before = np.zeros(len(cols[0]), bool)
+        if rest is not None:
+            cols, before = [np.concatenate([x, y]) for x, y in zip(rest[:4], cols, strict=True)], np.concatenate([rest[4], before])
+        yield emit([*cols, before], False)
+        # The last row goes out with the next batch, when it is known whether its shingle goes on; its own prev is known now.
+        held = cols[0][-1:] == cols[0][-2:-1] if len(cols[0]) > 1 else before[-1:]
+        rest = [*[x[-1:] for x in cols], held]
+    if rest is not None:
+        yield emit(rest, True)
+
+
+ENTRY = ["shingle", "key", "n", "pos", "prev"]
 
-    def emit(s: np.ndarray, key: np.ndarray, n: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
-        num, den = LEAST
-        n, left = n.astype(np.int64), (n - pos).astype(np.int64)  # left: what both can share from here on, this one included
-        lag, i = 1, np.arange(len(s) - 1)
+
+def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates (a, b) of different roots, from rows (shingle, block, own, root, key, n, left) that come sorted by shingle and block; only an entry's rows are held over."""
+    rest: list[np.ndarray] | None = None
+
+    def made(key: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(key[i], key[j])), pa.array(np.maximum(key[i], key[j]))], names=["a", "b"])
+
+    def emit(s, block, own, root, key, n, left) -> Iterator[pa.RecordBatch]:
+        if len(s) < 2:
+            return
+        start = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | (block[1:] != block[:-1])]))
+        size = np.diff(np.concatenate([start, [len(s)]]))
+        group = np.repeat(np.arange(len(start)), size)
+        within = block == -1  # not cut into blocks; else two rows meet if they are of different blocks, or of the only one
+        few = np.flatnonzero(size[group] <= SMALL)
+
+        def pairs(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            apart = within[i] | (own[i] != own[j]) | (block[i] == own[i] * (1 << 20) + own[i])
+            return (root[i] != root[j]) & apart & _near_enough(n[i], left[i], n[j], left[j])
+
+        lag, i = 1, few
         while len(i):
             i = i[i + lag < len(s)]
-            i = i[(s[i] == s[i + lag]) & (den * n[i] >= num * n[i + lag])]
-            hit = i[((num + den) * np.minimum(left[i], left[i + lag]) >= num * (n[i] + n[i + lag])) & (key[i] != key[i + lag])]
+            i = i[group[i] == group[i + lag]]
+            hit = i[pairs(i, i + lag)]
             if len(hit):
-                a, b = key[hit], key[hit + lag]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                yield made(key, hit, hit + lag)
             lag += 1
+        for g in np.flatnonzero(size > SMALL).tolist():
+            at = np.arange(start[g], start[g] + size[g])
+            of, count = np.unique(root[at], return_inverse=True, return_counts=True)[1:]
+            # Largest first: each row meets those of the larger groups, so the rows of the largest don't meet each other.
+            rank = np.empty(len(count), np.int64)
+            rank[np.argsort(-count, kind="stable")] = np.arange(len(count))
+            order = np.argsort(rank[of], kind="stable")
+            at, of = at[order], rank[of][order]
+            first = np.searchsorted(of, of)
+            for k in range(int(np.searchsorted(of, 1)), len(at)):
+                before = at[: first[k]]
+                hit = before[pairs(before, np.full(len(before), at[k]))]
+                if len(hit):
+                    yield made(key, hit, np.full(len(hit), at[k]))
 
     for batch in batches:
-        cols = [np.concatenate([x, batch.column(c).to_numpy()]) for c, x in enumerate(rest)]
-        if not len(cols[0]):
+        if not batch.num_rows:
             continue
-        last = int(np.searchsorted(cols[0], cols[0][-1]))
+        cols = [batch.column(c).to_numpy() for c in range(7)]
+        if rest is not None:
+            cols = [np.concatenate([x, y]) for x, y in zip(rest, cols, strict=True)]
+        change = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]))
+        last = int(change[-1]) + 1 if len(change) else 0
         rest = [x[last:] for x in cols]
         yield from emit(*[x[:last] for x in cols])
-    yield from emit(*rest)
+    if rest is not None:
+        yield from emit(*rest)
 
 
-def links(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(a, b), a < b: the keys of all pairs of rows (key long, text) that are similar enough."""
-    entries = _entries(rows, shingle).repartition("shingle").sortWithinPartitions("shingle", "n")
-    pairs = materialise(entries.mapInArrow(_paired, "a long, b long").groupBy("a", "b").agg(F.lit(1)).select("a", "b"), "similar-candidates")
+def _shared_entries(rows: DataFrame, shingle: int) -> DataFrame:
+    entries = _entries(rows, shingle).repartition("shingle").sortWithinPartitions("shingle", "n", "key")
+    return materialise(entries.mapInArrow(_shared, "shingle long, key long, n int, pos int, prev long"), "similar-entries")
+
+
+def _candidates(rooted: DataFrame) -> DataFrame:
+    """Distinct (a, b) of rows (shingle, key, n, pos, root) that share a shingle and have different roots."""
+    mixed = rooted.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("key").alias("rows")).where("low <> high")
+    blocks = F.when(F.col("rows") > CROWD, F.ceil(F.col("rows") / CROWD).cast("long"))
+    kept = rooted.join(mixed.select("shingle", blocks.alias("blocks")).hint("merge"), "shingle").withColumn("own", F.coalesce(F.pmod(F.xxhash64("key"), "blocks"), F.lit(0)))
+    # Block pair (i, j), i <= j, has number i * 2**20 + j.
+    numbers = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.least("own", j) * (1 << 20) + F.greatest("own", j))
+    each = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(numbers))
+    dealt = kept.select("shingle", each.alias("block"), "own", "root", "key", F.col("n").cast("long").alias("n"), (F.col("n") - F.col("pos")).cast("long").alias("left"))
+    dealt = dealt.repartition("shingle", "block").sortWithinPartitions("shingle", "block")
+    return dealt.mapInArrow(_paired, "a long, b long").groupBy("a", "b").agg(F.lit(1)).select("a", "b")
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
+    """Those of the pairs (a, b) that are similar enough, by their whole texts in rows (key, text)."""
+    pairs = materialise(pairs, "similar-candidates")
     keys = materialise(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "similar-keys")
     texts = materialise(rows.join(_side(keys), "key", "left_semi").dropDuplicates(["key"]), "similar-texts")
     both = pairs.join(texts.withColumnsRenamed({"key": "a", "text": "one"}), "a").join(texts.withColumnsRenamed({"key": "b", "text": "two"}), "b").select("a", "b", "one", "two")
@@ -153,6 +248,22 @@ def links(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def links(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(a, b), a < b: the keys of all pairs of rows (key long, text) that are similar enough. Their number is what it is: in a group of copies, its square."""
+    shared = _shared_entries(rows, shingle)
+    return _verified(_candidates(shared.withColumn("root", F.col("key"))), rows, shingle)
+
+
+def connections(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(a, b), a < b: similar pairs of rows (key long, text), enough to connect all that links() connects."""
+    shared = _shared_entries(rows, shingle)
+    chain = shared.where("prev IS NOT NULL").select(F.least("key", "prev").alias("a"), F.greatest("key", "prev").alias("b")).distinct()
+    first = materialise(_verified(chain, rows, shingle), "similar-chain")
+    roots = materialise(components(first), "similar-roots")
+    rooted = shared.join(roots.withColumnRenamed("node", "key").hint("merge"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    return first.unionByName(_verified(_candidates(rooted), rows, shingle))
+
+
 def _side(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= FEW else keys.hint("merge")
 
@@ -162,7 +273,7 @@ def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = materialise(simhash.keep_one(documents, id_col, text_col), "similar-documents")
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.xxhash64(F.col(id_col), text)
-    found = components(materialise(links(docs.select(key.alias("key"), text.alias("text")), shingle), "similar-links"))
+    found = components(materialise(connections(docs.select(key.alias("key"), text.alias("text")), shingle), "similar-links"))
     named = docs.select(key.alias("node"), F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), key.alias("key")).alias("row"))
     nodes = materialise(found, "similar-groups")
     members = materialise(named.join(_side(nodes), "node"), "similar-members")

@@ -57,3 +57,40 @@ def test_stage_leaves_no_near_copies(spark):
         for a, b in of:
             up[a] = up[b] = min(up[a], up[b])
     assert set(kept) == {i for i in simhash if up.get(i, i) == i}
+
+
+def groups(pairs):
+    up = {i: i for p in pairs for i in p}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        up[max(x, y)] = min(x, y)
+    return {i: find(i) for i in up}
+
+
+def test_connections_join_what_links_join(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = edited(rng, [f"w{i}" for i in range(300)]) + [(900, None), (901, " "), (902, "")]
+    # A dense group, and documents that share most entries with it but are not all alike.
+    base = [f"d{i}" for i in range(100)]
+    for k in range(60):
+        w = list(base)
+        for _ in range(rng.choice([1, 1, 2, 4])):
+            w[rng.randrange(100)] = f"x{k}"
+        rows.append((1000 + k, " ".join(w)))
+    df = spark.createDataFrame(rows, "key long, text string").repartition(4)
+    pairs = alike(rows)
+    want = groups(pairs)
+    dense = sum(min(p) >= 1000 for p in pairs)
+    for crowd, small in ((4096, 32), (20, 4)):
+        monkeypatch.setattr(similar, "CROWD", crowd)
+        monkeypatch.setattr(similar, "SMALL", small)
+        got = [tuple(r) for r in similar.connections(df).distinct().collect()]
+        assert {(max(p), min(p)) for p in got} <= {(max(p), min(p)) for p in pairs}
+        assert groups(got) == want
+        assert sum(min(p) >= 1000 for p in got) < dense
