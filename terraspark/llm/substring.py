@@ -8,14 +8,17 @@ the same words recur. Every word that a recurring window covers is removed.
    that occur twice in the corpus are marked in a bitmap of fixed size, those that occur over CROWD times in a second
    one. A false mark costs time only.
 2. Pieces. Neighbouring windows with the same marked anchor are one piece of text, or a piece each where the anchor is
-   crowded. Each partition writes its distinct pieces with their counts, and where each document has which piece.
-3. Automata. Pieces are dealt out by anchor (crowded ones by their own hash) to shards of about SHARD pieces. A shard
-   counts its windows word by word, joins recurring ones into passages, compiles an automaton of them and streams all
-   its pieces through it, which locates every passage in them.
-4. Documents get the spans of their pieces and lose these words.
+   crowded. Each partition writes its distinct pieces with their counts, and which anchors the documents of which shard
+   have. Documents are dealt to shards of about SHARD_BYTES by a hash of the whole row, so copies spread out.
+3. Passages. Pieces are brought together by anchor (crowded ones by their own hash) and their windows counted word by
+   word. Runs of recurring windows are the confirmed passages of an anchor, cut to at most LONGEST words so that every
+   window stays whole in one of them.
+4. Automata. Each shard gets the passages of its documents' anchors, compiles one automaton of them, and streams all its
+   documents, whole, through it. The words of every occurrence that it locates go. Nothing else says where they are.
 
 Defined cases: null, empty and blank texts have no words; texts shorter than a window lose nothing. Repeated rows are
-documents each, so all their windows recur. Other columns stay; n_words, n_removed and text are set by the operator
+documents each, so all their windows recur; rows that are equal in every column are one shard's work. A text of over
+PART bytes is streamed in parts, its located words carried over their borders. Other columns stay; n_words, n_removed and text are set by the operator
 (text: the kept words, one space between).
 """
 
@@ -27,10 +30,11 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textkernel as tk
 from .shared import materialise, new_path, plus, with_columns
@@ -39,8 +43,12 @@ WINDOW, GRAM = 35, 8
 BITS = 28
 CROWD = 2000
 SHARD = 4000
-#: Distinct pieces that a task holds before it writes them.
-HELD = 40_000
+#: Distinct pieces, and pairs of anchor and shard, that a task holds before it writes them.
+HELD, PAIRS = 40_000, 500_000
+#: Bytes of text that one automaton serves, about; words of a passage; bytes of text that are streamed at once.
+SHARD_BYTES, LONGEST, PART = 4 << 20, 128, 1 << 20
+#: Partitions that shards are dealt to; where there are more shards, a partition takes several, one after another.
+MOST_PARTITIONS = 10_000
 
 
 def sliding(x: np.ndarray, k: int, best) -> np.ndarray:
@@ -106,22 +114,31 @@ def marked(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def pieces(documents: DataFrame, twice: Broadcast, crowded: Broadcast, window: int) -> DataFrame:
-    """From (t1, t2, text): rows of distinct pieces (deal, p1, p2, text, n) and of places (t1, t2, p1, p2, at); `deal` is null in places."""
+    """From (shard, text): rows of distinct pieces (deal, text, n) and of what a shard's documents have (deal, shard)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], list] = {}
-        seen: set[tuple[int, int]] = set()
-        none = lambda n: pa.nulls(n, pa.int64())
+        held: dict[bytes, list[int]] = {}
+        seen: list[np.ndarray] = []
+        size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
-                n, (p, v) = len(held), (list(held), list(held.values()))
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in v], pa.int64()), none(n), none(n), pa.array([x[0] for x in p], pa.int64()), pa.array([x[1] for x in p], pa.int64()), pa.array([x[1] for x in v], pa.binary()), pa.array([x[2] for x in v], pa.int64())], names=NAMES)
+                n, v = len(held), list(held.values())
+                cols = [pa.array([x[0] for x in v], pa.int64()), pa.nulls(n, pa.int64()), pa.array(list(held), pa.binary()), pa.array([x[1] for x in v], pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, names=NAMES)
                 held.clear()
 
+        def pairs() -> Iterator[pa.RecordBatch]:
+            nonlocal size
+            if seen:
+                both = np.unique(np.concatenate(seen), axis=0)
+                seen.clear()
+                size, n = 0, len(both)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())], names=NAMES)
+
         for batch in batches:
-            t1, t2 = (batch.column(i).to_numpy() for i in (0, 1))
-            data, offs = tk.buffers(batch.column(2))
+            shard = batch.column(0).to_numpy()
+            data, offs = tk.buffers(batch.column(1))
             for a, b in tk.slices(offs):
                 w = tk.words(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], tk.NOT_SPACE)
                 _, m, inside = window_anchors(w, window)
@@ -135,92 +152,160 @@ def pieces(documents: DataFrame, twice: Broadcast, crowded: Broadcast, window: i
                 new[1:] = hot[1:] | (at[1:] != at[:-1] + 1) | (m[at[1:]] != m[at[:-1]]) | (w.doc[at[1:]] != w.doc[at[:-1]])
                 first = np.flatnonzero(new)
                 last = np.concatenate([first[1:], [len(at)]]) - 1 if len(first) else first
-                fresh: dict[int, bool] = {}
-                rows = []
-                anchor = m[at[first]].view(np.int64).tolist()
-                for s, e, x, h in zip(at[first].tolist(), at[last].tolist(), anchor, hot[first].tolist(), strict=True):
+                deal = np.where(hot[first], tk.mix(tk.window_hashes(tk.word_hashes(w), window)[at[first]]), m[at[first]]).view(np.int64)
+                for s, e, d in zip(at[first].tolist(), at[last].tolist(), deal.tolist(), strict=True):
                     text = w.text(s, e + window)
-                    d = xxhash.xxh3_128_intdigest(text)
-                    p = ((d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63))
-                    if p in held:
-                        held[p][2] += 1
+                    if text in held:
+                        held[text][1] += 1
                     else:
-                        held[p] = [p[0] if h else x, text, 1]
-                    doc = int(w.doc[s])
-                    if doc not in fresh:
-                        key = (int(t1[a + doc]), int(t2[a + doc]))
-                        fresh[doc] = key not in seen
-                        seen.add(key)
-                    if fresh[doc]:
-                        rows.append((a + doc, *p, s - int(w.first[doc])))
-                if rows:
-                    r = np.array(rows, np.int64)
-                    k = r[:, 0]
-                    yield pa.RecordBatch.from_arrays([none(len(r)), pa.array(t1[k]), pa.array(t2[k]), pa.array(r[:, 1]), pa.array(r[:, 2]), pa.nulls(len(r), pa.binary()), pa.array(r[:, 3])], names=NAMES)
+                        held[text] = [d, 1]
+                if len(first):
+                    seen.append(np.unique(np.stack([deal, shard[a + w.doc[at[first]]]], 1), axis=0))
+                    size += len(seen[-1])
                 if len(held) > HELD:
                     yield from flush()
+                if size > PAIRS:
+                    yield from pairs()
         yield from flush()
+        yield from pairs()
 
-    return documents.mapInArrow(run, "deal long, t1 long, t2 long, p1 long, p2 long, text binary, n long")
+    return documents.mapInArrow(run, "deal long, shard long, text binary, n long")
 
 
-NAMES = ["deal", "t1", "t2", "p1", "p2", "text", "n"]
+NAMES = ["deal", "shard", "text", "n"]
 
 
-def locate(texts: list[bytes], counts: list[int], window: int) -> list[list[int]]:
-    """Of distinct pieces with their counts, the covered words of each as [first, end, first, end, ...]."""
+def recurring(texts: list[bytes], counts: list[int], window: int) -> list[list[bytes]]:
+    """Of distinct pieces with their counts, the passages of each: runs of windows that occur more than once, in parts of at most LONGEST words."""
     number: dict[bytes, int] = {}
-    ids = [np.array([number.setdefault(x, len(number)) for x in t.split()], np.int32) for t in texts]
+    words = [t.split() for t in texts]
+    ids = [np.array([number.setdefault(x, len(number)) for x in w], np.int32) for w in words]
     seen: dict[bytes, int] = defaultdict(int)
     windows = [[x[i : i + window].tobytes() for i in range(len(x) - window + 1)] for x in ids]
     for keys, n in zip(windows, counts, strict=True):
         for k in keys:
             seen[k] += n
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for x, keys in zip(ids, windows, strict=True):
+    out, longest = [], max(LONGEST, 2 * window)
+    for w, keys in zip(words, windows, strict=True):
         again = np.array([seen[k] > 1 for k in keys], bool)
         edge = np.flatnonzero(np.diff(np.concatenate([[False], again, [False]])))
+        mine = []
         for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-            passage = tuple(x[a : b + window - 1].tolist())
-            automaton.add_word(passage, len(passage))
-    if not len(automaton):
-        return [[] for _ in texts]
-    automaton.make_automaton()
-    out = []
-    for x in ids:
-        spans = [(end + 1 - size, size) for end, size in automaton.iter(tuple(x.tolist()))]
-        if not spans:
-            out.append([])
-            continue
-        mask = tk.cover(len(x), np.array([s[0] for s in spans]), np.array([s[1] for s in spans]))
-        out.append(np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]))).tolist())
+            for i in range(a, b, longest - window + 1):
+                mine.append(b" ".join(w[i : min(i + longest, b + window - 1)]))
+        out.append(mine)
     return out
 
 
-def confirmed(found: DataFrame, window: int, shard: int = SHARD) -> DataFrame:
-    """(p1, p2, spans) of the pieces in which passages are located; found: (deal, p1, p2, text, n)."""
+def passages(found: DataFrame, window: int, shard: int = SHARD) -> DataFrame:
+    """(deal, passage) of pieces (deal, text, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], list] = {}
+        held: dict[bytes, list[int]] = {}
         deal = None
 
         def finish() -> Iterator[pa.RecordBatch]:
-            spans = locate([v[0] for v in held.values()], [v[1] for v in held.values()], window)
-            rows = [(*p, s) for p, s in zip(held, spans, strict=True) if s]
+            made = recurring(list(held), [v[1] for v in held.values()], window)
+            rows = list({(v[0], p) for v, mine in zip(held.values(), made, strict=True) for p in mine})
             held.clear()
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], names=["p1", "p2", "spans"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["deal", "passage"])
 
         for batch in batches:
-            for d, p1, p2, text, n in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for d, text, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if d != deal:
                     deal = d
                     if len(held) >= shard:
                         yield from finish()
-                held.setdefault((p1, p2), [text, 0])[1] += n
+                held.setdefault(text, [d, 0])[1] += n
         yield from finish()
 
-    return found.repartition("deal").sortWithinPartitions("deal").mapInArrow(run, "p1 long, p2 long, spans array<long>")
+    return found.repartition("deal").sortWithinPartitions("deal").mapInArrow(run, "deal long, passage binary")
+
+
+class Locator:
+    """An automaton over the words of passages."""
+
+    def __init__(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        self.longest, self.ready = 1, False
+
+    def add(self, passage: bytes) -> None:
+        number = self.number
+        key = tuple([number.setdefault(x, len(number) + 1) for x in passage.split()])
+        self.longest = max(self.longest, len(key))
+        self.automaton.add_word(key, len(key))
+
+    def spans(self, raw: bytes) -> tuple[int, np.ndarray]:
+        """Number of words of the text, and (first word, words) of every occurrence of a passage in it."""
+        if not self.ready and len(self.automaton):
+            self.automaton.make_automaton()
+            self.ready = True
+        out, begin, tail = [], 0, []
+        for part in _parts(raw):
+            ids = part.split() if not self.ready else [self.number.get(x, 0) for x in part.split()]
+            if self.ready:
+                back = begin - len(tail)
+                whole = tuple(tail + ids)
+                found = [(back + end + 1 - size, size) for end, size in self.automaton.iter(whole)]
+                if found:
+                    out.append(np.array(found, np.int64))
+                tail = list(whole[max(0, len(whole) - self.longest + 1) :])
+            begin += len(ids)
+        return begin, np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+
+
+def _parts(raw: bytes) -> Iterator[bytes]:
+    """The text in parts of about PART bytes, cut between words."""
+    if len(raw) <= PART:
+        yield raw
+        return
+    data = np.frombuffer(raw, np.uint8)
+    for _, _, lo, hi in tk.parts(data, np.array([0, len(raw)]), tk.NOT_SPACE, PART):
+        yield raw[lo:hi]
+
+
+def _without(raw: bytes, mask: np.ndarray | None) -> str:
+    """The words that aren't masked, one space between."""
+    kept, at = [], 0
+    for part in _parts(raw):
+        words = part.split()
+        if mask is not None:
+            here = mask[at : at + len(words)].tolist()
+            at += len(words)
+            words = [w for w, gone in zip(words, here, strict=True) if not gone]
+        if words:
+            kept.append(b" ".join(words))
+    return b" ".join(kept).decode()
+
+
+def located(rows: DataFrame, text_col: str) -> DataFrame:
+    """From (shard, kind, passage, all), a shard's passages (kind 0) before its documents: all, the kept words, and how many there were and went."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, locator = None, Locator()
+        for batch in batches:
+            every = batch.column(3)
+            docs = np.flatnonzero(batch.column(1).to_numpy())
+            texts = pc.struct_field(every, [text_col]).cast(pa.large_binary())
+            kept, total, gone = [], [], []
+            for s, kind, passage, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), range(batch.num_rows), strict=True):
+                if s != shard:
+                    shard, locator = s, Locator()
+                if not kind:
+                    locator.add(passage)
+                    continue
+                raw = texts[i].as_py() or b""
+                n, spans = locator.spans(raw)
+                mask = tk.cover(n, spans[:, 0], spans[:, 1]) if len(spans) else None
+                kept.append(_without(raw, mask))
+                total.append(n)
+                gone.append(0 if mask is None else int(mask.sum()))
+            if len(docs):
+                yield pa.RecordBatch.from_arrays([every.take(pa.array(docs)), pa.array(kept, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())], names=["__all", "__kept", "__n", "__gone"])
+
+    return rows.mapInArrow(run, plus(rows.select("__all"), __kept="string", __n="long", __gone="long"))
 
 
 def dedup_passages(documents: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -231,42 +316,19 @@ def dedup_passages(documents: DataFrame, text_col: str = "text", window: int = W
     text = F.coalesce(F.col(text_col), F.lit(""))
     counted = materialise(anchors(documents.select(text.alias("text")), window).where("n > 1"), "anchors")
     twice, crowded = bitmap(counted.select("anchor")), bitmap(counted.where(F.col("n") > CROWD).select("anchor"))
+    shards = (documents.agg(F.sum(F.octet_length(text))).first()[0] or 0) // SHARD_BYTES + 1
+    hashed = [F.col(f"`{f.name}`") for f in documents.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    shard = F.pmod(F.xxhash64(*hashed), F.lit(shards))
     path = new_path(spark, "pieces")
-    keyed = documents.select(F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), text.alias("text"))
-    pieces(keyed, twice, crowded, window).withColumn("place", F.col("deal").isNull()).write.partitionBy("place").parquet(path)
-    rows = spark.read.schema("deal long, t1 long, t2 long, p1 long, p2 long, text binary, n long, place boolean").parquet(path)
-    spans = confirmed(rows.where(~F.col("place")).select("deal", "p1", "p2", "text", "n"), window)
-    places = rows.where("place").select("t1", "t2", "p1", "p2", F.col("n").alias("at"))
-    hit = places.join(spans.hint("merge"), ["p1", "p2"]).select("t1", "t2", F.transform("spans", _shifted(F.col("at"))).alias("spans"))
-    # A table of its own, so that the join below can split the rows of a text that very many documents share.
-    covers = materialise(hit.groupBy("t1", "t2").agg(F.flatten(F.collect_set("spans")).alias("__spans")), "covers")
-    base = documents.select(F.struct("*").alias("__all"), text.alias("__text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"))
-    joined = base.join(covers.hint("merge"), ["t1", "t2"], "left").select("__all", "__text", "__spans")
-    done = joined.select("__text", "__spans", "__all").mapInArrow(_cut, plus(joined.select("__all"), __kept="string", __n="long", __gone="long"))
+    pieces(documents.select(shard.alias("shard"), text.alias("text")), twice, crowded, window).withColumn("need", F.col("shard").isNotNull()).write.partitionBy("need").parquet(path)
+    rows = spark.read.schema("deal long, shard long, text binary, n long, need boolean").parquet(path)
+    confirmed = materialise(passages(rows.where("NOT need").select("deal", "text", "n"), window), "passages")
+    wanted = rows.where("need").select("deal", "shard").distinct().join(confirmed.hint("merge"), "deal")
+    whole = documents.select(shard.alias("shard"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("passage"), F.struct("*").alias("__all"))
+    none = F.lit(None).cast(whole.schema["__all"].dataType)
+    both = wanted.select("shard", F.lit(0).alias("kind"), "passage", none.alias("__all")).unionByName(whole)
+    partitions = min(shards, MOST_PARTITIONS)
+    dealt = both.repartitionById(partitions, F.pmod("shard", F.lit(partitions)).cast("int")).sortWithinPartitions("shard", "kind")
+    done = located(dealt, text_col)
     flat = done.select(*[F.col("__kept").alias(c) if c == text_col else F.col(f"__all.`{c}`").alias(c) for c in documents.columns], "__n", "__gone")
     return with_columns(flat, n_words=F.col("__n"), n_removed=F.col("__gone")).drop("__n", "__gone")
-
-
-def _shifted(by):
-    return lambda x: x + by
-
-
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (text, spans, all): all, the kept words, and how many there were and went."""
-    for batch in batches:
-        data, offs = tk.buffers(batch.column(0))
-        kept, total, gone = [], np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-        for a, b in tk.slices(offs):
-            w = tk.words(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], tk.NOT_SPACE)
-            total[a:b] = np.diff(w.first)
-            for d, spans in enumerate(batch.column(1).slice(a, b - a).to_pylist()):
-                i, j = int(w.first[d]), int(w.first[d + 1])
-                if spans:
-                    edge = np.array(spans, np.int64)
-                    mask = tk.cover(j - i, edge[::2], edge[1::2] - edge[::2])
-                    gone[a + d] = mask.sum()
-                    at = np.flatnonzero(~mask) + i
-                    kept.append(b" ".join(w.data[s:e].tobytes() for s, e in zip(w.starts[at].tolist(), w.ends[at].tolist(), strict=True)).decode())
-                else:
-                    kept.append(b" ".join(data[offs[a + d] : offs[a + d + 1]].tobytes().split()).decode())
-        yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(kept, pa.string()), pa.array(total), pa.array(gone)], names=["__all", "__kept", "__n", "__gone"])
