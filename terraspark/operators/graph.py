@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..tables import new_path, remove
+from ..tables import new_path, remove, shuffled_by
 
 MAX_ROUNDS = 60
 
@@ -15,10 +15,20 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round's links are written to the shared folder and the round before is deleted. Minima are taken map-side
     before each shuffle, so a node with very many links is no burden for one task; a join with its links is a merge
-    join whose large partitions Spark splits. Without links there are no rows.
+    join whose large partitions Spark splits. Without links there are no rows. Shuffles have partitions by the number of
+    links, up to the session's.
     """
     spark = links.sparkSession
     schema = "a long, b long"
+    first = new_path(spark, "links")
+    links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).groupBy("a", "b").agg(F.lit(1)).select("a", "b").write.parquet(first)
+    size = spark.read.schema(schema).parquet(first).count()
+    with shuffled_by(spark, size):
+        return _settled(spark, first, schema)
+
+
+def _settled(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The stars that the links at path, which is deleted, come to."""
 
     def write(df: DataFrame) -> str:
         path = new_path(spark, "links")
@@ -39,7 +49,6 @@ def components(links: DataFrame) -> DataFrame:
     def both(df: DataFrame) -> DataFrame:
         return df.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.u", "e.v")
 
-    path = write(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).groupBy("a", "b").agg(F.lit(1)))
     before = None
     for _ in range(MAX_ROUNDS):
         # Large star: every larger neighbour of u is linked to the smallest of u and its neighbours.

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,3 +37,15 @@ def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def shuffled_by(spark: SparkSession, rows: int, each: int = 200_000) -> Iterator[None]:
+    """While this lasts, what is planned is shuffled into partitions of about `each` of these rows, no more than the session's number of them."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(max(1, min(int(before), -(-rows // each)))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
