@@ -26,6 +26,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -47,6 +48,8 @@ SHARD = 4000
 HELD, PAIRS = 40_000, 500_000
 #: Bytes of text that one automaton serves, about; words of a passage; bytes of text that are streamed at once.
 SHARD_BYTES, LONGEST, PART = 4 << 20, 128, 1 << 20
+#: Bits of a letter of an automaton.
+BASE = 8
 #: Partitions that shards are dealt to; where there are more shards, a partition takes several, one after another.
 MOST_PARTITIONS = 10_000
 
@@ -224,35 +227,52 @@ def passages(found: DataFrame, window: int, shard: int = SHARD) -> DataFrame:
 
 
 class Locator:
-    """An automaton over the words of passages."""
+    """An automaton over the words of passages.
+
+    A word is written as the digits of its number, the letters of the automaton, since it looks for a state's next
+    letter among all that follow it. Each place has digits of its own, so that no match begins within a word.
+    """
 
     def __init__(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        self.longest, self.ready = 1, False
+        self.number: dict[bytes, int] = {}  # from 1; 0 is for all words that no passage has
+        self.known: list[list[int]] = []
+        self.automaton, self.longest, self.places = None, 1, 1
 
     def add(self, passage: bytes) -> None:
         number = self.number
-        key = tuple([number.setdefault(x, len(number) + 1) for x in passage.split()])
-        self.longest = max(self.longest, len(key))
-        self.automaton.add_word(key, len(key))
+        self.known.append([number.setdefault(x, len(number) + 1) for x in passage.split()])
+
+    def _letters(self, n: np.ndarray) -> list[int]:
+        return np.stack([(n >> (BASE * k) & ((1 << BASE) - 1)) + (k << BASE) for k in range(self.places)], 1).ravel().tolist()
+
+    def _compile(self) -> None:
+        self.places = max(1, -(-len(self.number).bit_length() // BASE))
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        for i in range(0, len(self.known), 1000):
+            some = self.known[i : i + 1000]
+            letters, at = self._letters(np.array([n for p in some for n in p], np.int64)), 0
+            for p in some:
+                self.automaton.add_word(tuple(letters[at : at + len(p) * self.places]), len(p))
+                at += len(p) * self.places
+        self.longest = max(map(len, self.known))
+        self.known.clear()
+        self.automaton.make_automaton()
 
     def spans(self, raw: bytes) -> tuple[int, np.ndarray]:
         """Number of words of the text, and (first word, words) of every occurrence of a passage in it."""
-        if not self.ready and len(self.automaton):
-            self.automaton.make_automaton()
-            self.ready = True
+        if self.known and self.automaton is None:
+            self._compile()
         out, begin, tail = [], 0, []
         for part in _parts(raw):
-            ids = part.split() if not self.ready else [self.number.get(x, 0) for x in part.split()]
-            if self.ready:
-                back = begin - len(tail)
-                whole = tuple(tail + ids)
-                found = [(back + end + 1 - size, size) for end, size in self.automaton.iter(whole)]
+            words = part.split()
+            if self.automaton is not None:
+                back, whole = begin - len(tail), tail + words
+                numbers = np.fromiter(map(self.number.get, whole, repeat(0)), np.int64, len(whole))
+                found = [(back + (end + 1) // self.places - size, size) for end, size in self.automaton.iter(tuple(self._letters(numbers)))]
                 if found:
                     out.append(np.array(found, np.int64))
-                tail = list(whole[max(0, len(whole) - self.longest + 1) :])
-            begin += len(ids)
+                tail = whole[max(0, len(whole) - self.longest + 1) :]
+            begin += len(words)
         return begin, np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
 
