@@ -64,7 +64,8 @@ def place(rows: DataFrame, keys: list[str], shards: dict[str, int] | list[str] |
     names = list(shards)
     table = rows.sparkSession.createDataFrame([(i, names[k]) for i, k in enumerate(lookup_table(shards, size))], "slot int, shard string")
     row = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns])))
-    keyed = with_columns(rows.drop("shard"), slot=slot_of([F.col(f"`{k}`") for k in keys], row, size, spread))
+    # The slot is known before columns of the outputs' names go: they may be keys.
+    keyed = with_columns(rows, slot=slot_of([F.col(f"`{k}`") for k in keys], row, size, spread)).drop("shard")
     return keyed.join(F.broadcast(table), "slot").select(*[F.col(f"`{c}`") for c in keyed.columns], "shard")
 
 
