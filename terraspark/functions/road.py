@@ -80,3 +80,13 @@ def weight_ds(profile: str, distance_m, road, surface, seasonal=0, foot=0, bicyc
     """Travel time on an edge, null where it is closed to the profile."""
     speed = _at(PROFILE_SPEEDS[profile], road)
     return F.when(accessible(profile, road, seasonal, foot, bicycle) & (speed > 0), travel_ds(distance_m, speed * _at(SURFACE_FACTORS, surface)))
+
+
+def profile_table(spark):
+    """(profile, road_class, kmh) of all profiles."""
+    rows = [(p, list(v)) for p, v in PROFILE_SPEEDS.items()]
+    return spark.createDataFrame(rows, "profile string, v array<double>").select("profile", F.posexplode("v").alias("road_class", "kmh"))
+
+
+def profile_names() -> list[str]:
+    return sorted(PROFILE_SPEEDS)

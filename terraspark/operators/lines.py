@@ -9,6 +9,14 @@ from pyspark.sql import functions as F
 from ..functions.geo import bearing, haversine_m
 
 
+def measured(points: DataFrame, by: str) -> DataFrame:
+    """points (by, seq, lat, lon) with leg, the metres from the point before, and upto and before: the metres to each point, and to the one before it."""
+    w = W.partitionBy(by).orderBy("seq")
+    leg = F.coalesce(haversine_m(F.lag("lat").over(w), F.lag("lon").over(w), "lat", "lon"), F.lit(0.0))
+    upto, before = (F.sum("leg").over(w.rowsBetween(W.unboundedPreceding, k)) for k in (0, -1))
+    return points.withColumn("leg", leg).withColumns({"upto": upto, "before": F.coalesce(before, F.lit(0.0))})
+
+
 def interpolate(points: DataFrame, by: str, fraction: float) -> DataFrame:
     """(by, lat, lon, bearing) at a share of the length of each line of points (by, seq, lat, lon)."""
     w = W.partitionBy(by).orderBy("seq")

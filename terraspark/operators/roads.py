@@ -28,6 +28,11 @@ def referenced(nodes: DataFrame, ways: DataFrame) -> DataFrame:
     return nodes.join(ways.select(F.explode("refs").alias("node_id")).distinct(), "node_id", "left_semi")
 
 
+def along_edges(pairs: DataFrame, edges: DataFrame, src: str, dst: str) -> DataFrame:
+    """pairs whose nodes (columns src and dst) an edge joins in that direction."""
+    return pairs.join(edges.select(F.col("src").alias(src), F.col("dst").alias(dst)).distinct(), [src, dst], "left_semi")
+
+
 def build_edges(ways: DataFrame, nodes: DataFrame, order: str = "way_id") -> DataFrame:
     """Directed edges (src, dst, way_id, segment, distance_m, time_ds, flags, road_name, geometry) of parsed ways.
 

@@ -35,7 +35,7 @@ class Graph:
 
     @classmethod
     def of(cls, src: np.ndarray, dst: np.ndarray, weight: np.ndarray, distance: np.ndarray, time: np.ndarray) -> Graph:
-        order = np.lexsort((weight, dst, src))
+        order = np.lexsort((distance, weight, dst, src))
         ids = np.unique(np.concatenate([src, dst]))
         at = np.searchsorted(ids, src[order])
         return cls(ids, np.searchsorted(at, np.arange(len(ids) + 1)), np.searchsorted(ids, dst[order]), weight[order], distance[order], time[order])
@@ -45,7 +45,7 @@ class Graph:
         return i if i < len(self.ids) and self.ids[i] == node else None
 
     def search(self, origin: int, wanted: set[int]) -> dict[int, tuple[int, int, list[int]]]:
-        """From a node's number to those wanted: weight, and the edges of the way there. Ends when all are found; equal weights prefer the lower node."""
+        """From a node's number to those wanted: weight, and the edges of the way there. Ends when all are found. Of ways of equal weight the one with the lower node before the end stays, then before that one, and so on."""
         best, before, done, found = {origin: 0}, {}, set(), {}
         queue = [(0, origin)]
         while queue and len(found) < len(wanted):
@@ -61,7 +61,8 @@ class Graph:
                 found[node] = (cost, path[::-1])
             for edge in range(self.first[node], self.first[node + 1]):
                 there, total = int(self.target[edge]), cost + int(self.weight[edge])
-                if there not in done and total < best.get(there, total + 1):
+                had = best.get(there, total + 1)
+                if there not in done and (total < had or (total == had and node < before[there][0])):
                     best[there], before[there] = total, (node, edge)
                     heapq.heappush(queue, (total, there))
         return found
@@ -111,7 +112,8 @@ def relax(origins: DataFrame, edges: DataFrame, most_rounds: int = 10_000) -> Da
     """(origin, node, cost, path) from every origin (origin) to all nodes it reaches, for graphs of any size.
 
     Each round only what improved in the one before moves on, and all origins advance together. Of ways of equal cost
-    the one with the lower nodes stays.
+    the one with the lower node before the end stays, then before that one, and so on, as in Graph.search. What doesn't
+    settle in most_rounds is an error.
     """
     spark = origins.sparkSession
     schema = "origin long, node long, cost long, path array<long>"
@@ -122,16 +124,18 @@ def relax(origins: DataFrame, edges: DataFrame, most_rounds: int = 10_000) -> Da
         return path
 
     def least(df: DataFrame) -> DataFrame:
-        return df.groupBy("origin", "node").agg(F.min(F.struct("cost", "path")).alias("b")).select("origin", "node", "b.cost", "b.path")
+        best = F.min(F.struct("cost", F.reverse("path").alias("back"))).alias("b")
+        return df.groupBy("origin", "node").agg(best).select("origin", "node", "b.cost", F.reverse("b.back").alias("path"))
 
     read = lambda path: spark.read.schema(schema).parquet(path)
     o = F.col("origin").cast("long")
     known = front = write(origins.select(o.alias("origin"), o.alias("node"), F.lit(0).cast("long").alias("cost"), F.array(o).alias("path")).distinct())
     out = edges.groupBy("src", "dst").agg(F.min("cost").alias("by")).withColumnRenamed("src", "node")
     for _ in range(most_rounds):
-        moved = read(front).join(out, "node").select("origin", F.col("dst").alias("node"), (F.col("cost") + F.col("by")).alias("cost"), F.concat("path", F.array("dst")).alias("path"))
-        had = read(known).select("origin", "node", F.col("cost").alias("had"))
-        better = write(least(moved).join(had, ["origin", "node"], "left").where("had IS NULL OR cost < had"))
+        moved = read(front).join(out, "node").where(~F.array_contains("path", F.col("dst"))).select("origin", F.col("dst").alias("node"), (F.col("cost") + F.col("by")).alias("cost"), F.concat("path", F.array("dst")).alias("path"))
+        had = read(known).select("origin", "node", F.struct("cost", F.reverse("path").alias("back")).alias("had"))
+        now = F.struct("cost", F.reverse("path").alias("back"))
+        better = write(least(moved).join(had, ["origin", "node"], "left").where(F.col("had").isNull() | (now < F.col("had"))))
         if read(better).isEmpty():
             break
         merged = write(least(read(known).unionByName(read(better))))
@@ -139,6 +143,8 @@ def relax(origins: DataFrame, edges: DataFrame, most_rounds: int = 10_000) -> Da
             remove(spark, front)
         remove(spark, known)
         known, front = merged, better
+    else:
+        raise RuntimeError("ways did not settle")
     return read(known)
 
 
@@ -173,9 +179,18 @@ def path_segments(paths: DataFrame, edges: DataFrame) -> DataFrame:
     return legs.select("request", "seq", F.col("leg.a").alias("src"), F.col("leg.b").alias("dst")).join(one, ["src", "dst"]).select("request", "seq", "src", "dst", "e.*")
 
 
+def totals(segments: DataFrame, by: str, distance: str, duration: str) -> DataFrame:
+    """(by, distance, duration): sums over the segments of each way."""
+    return segments.groupBy(by).agg(F.sum(distance).alias(distance), F.sum(duration).alias(duration))
+
+
+def line_string(points):
+    """GeoJSON of an array of points (lat, lon), longitude first."""
+    return F.to_json(F.struct(F.lit("LineString").alias("type"), F.transform(points, lambda x: F.array(x["lon"], x["lat"])).alias("coordinates")))
+
+
 def polylines(segments: DataFrame) -> DataFrame:
     """(request, points, geojson): geometries joined in order, without points that repeat the one before."""
     whole = segments.groupBy("request").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("seq", "geometry"))), lambda s: s["geometry"])).alias("p"))
     fresh = F.filter("p", lambda x, i: (i == 0) | (x != F.get("p", i - 1)))
-    line = F.struct(F.lit("LineString").alias("type"), F.transform("points", lambda x: F.array(x["lon"], x["lat"])).alias("coordinates"))
-    return whole.select("request", fresh.alias("points")).withColumn("geojson", F.to_json(line))
+    return whole.select("request", fresh.alias("points")).withColumn("geojson", line_string("points"))

@@ -9,19 +9,24 @@ from pyspark.sql import functions as F
 from ..constants import METRES_PER_DEGREE
 from ..functions.geo import haversine_m
 
+EARTH_M = 6_371_000.0
+
 
 def range_join(left: DataFrame, right: DataFrame, radius_m: float, boxed: bool = True) -> DataFrame:
     """Pairs of left and right rows at most radius_m apart, with distance_m. Both have lat and lon; right's come as r_lat and r_lon.
 
-    Cells are as wide as the box of the radius in degrees, so partners lie in the nine cells around a point: left rows
-    are sent there, and the join is an equi join on cells whose large partitions Spark can split. boxed also asks for
-    the box itself, which is narrower than the circle nowhere but in its east-west reach away from the equator.
+    Cells are as wide as the box of the radius in degrees. boxed asks for the box itself, whose partners lie in the nine
+    cells around a point. Without it the circle decides alone: it reaches further east and west the further a point is
+    from the equator, and left rows are sent to as many cells as that takes. The join is an equi join on cells whose
+    large partitions Spark can split. Points on both sides of the date line are no partners.
     """
-    size = radius_m / METRES_PER_DEGREE
+    size = radius_m / (METRES_PER_DEGREE if boxed else METRES_PER_DEGREE - 200)
     cell = lambda v: F.floor(F.col(v) / size)
-    # Away from the equator the circle reaches further in longitude than one cell; the box does not.
-    near = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.struct((cell("lat") + F.floor(i / 3) - 1).alias("a"), (cell("lon") + i % 3 - 1).alias("b")))
-    sent = left.withColumn("__cell", F.explode(near))
+    around = lambda b: F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: F.struct((cell("lat") + i).alias("a"), b.alias("b")))
+    angle = F.least(F.lit(1.0), F.sin(F.lit(radius_m / EARTH_M)) / F.greatest(F.cos(F.radians("lat")), F.lit(1e-12)))
+    reach = F.degrees(F.asin(angle)) + 1e-9
+    low, high = (cell("lon") - 1, cell("lon") + 1) if boxed else (F.floor((F.col("lon") - reach) / size), F.floor((F.col("lon") + reach) / size))
+    sent = left.withColumn("__cell", F.explode(F.flatten(F.transform(F.sequence(low, high), around))))
     dealt = right.withColumnsRenamed({"lat": "r_lat", "lon": "r_lon"}).withColumn("__cell", F.struct(F.floor(F.col("r_lat") / size).alias("a"), F.floor(F.col("r_lon") / size).alias("b")))
     pairs = sent.join(dealt, "__cell").drop("__cell")
     if boxed:

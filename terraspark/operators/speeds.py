@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_m
+from . import roads
 
 SLOWEST, FASTEST, SHORTEST_M, LEAST_SAMPLES = 1.0, 200.0, 10.0, 3
 
@@ -28,11 +29,15 @@ def trip_stats(waypoints: DataFrame) -> DataFrame:
     return rows.groupBy("trip_id").agg(F.floor(F.sum("leg")).cast("long").alias("distance_m"), F.greatest(span, F.lit(0)).cast("long").alias("duration_s"))
 
 
+def plausible(kmh):
+    return kmh.between(SLOWEST, FASTEST)
+
+
 def samples(snapped: DataFrame, edges: DataFrame) -> DataFrame:
     """(src, dst, kmh) of consecutive waypoints snapped to the ends (node_id) of an edge, where the step is long, lasting and plausible."""
     rows = steps(snapped).where((F.col("node_id") != F.col("to_node_id")) & (F.col("metres") >= SHORTEST_M) & (F.col("seconds") > 0))
     fast = rows.select(F.col("node_id").alias("src"), F.col("to_node_id").alias("dst"), (F.col("metres") / F.col("seconds") * 3.6).alias("kmh"))
-    return fast.where(F.col("kmh").between(SLOWEST, FASTEST)).join(edges.select("src", "dst").distinct(), ["src", "dst"], "left_semi")
+    return roads.along_edges(fast.where(plausible(F.col("kmh"))), edges, "src", "dst")
 
 
 def p85(values):

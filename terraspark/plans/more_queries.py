@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import ISSUE_TYPES, TAG_CATEGORIES
 from ..functions import text
-from ..operators import ingest, lines, speeds
+from ..operators import ingest, lines, routing, speeds
 from .registry import query, table
 from .road_queries import _SAMPLES, _SEGMENTS, _SPEEDS, _samples, _ways
 from .route_queries import _VALUES, _elements, _value_sql
@@ -17,12 +17,13 @@ from .views import EDGES, WAYPOINTS, edges, nodes, waypoints
 
 @query("flt_13_speed_range", "SELECT event_id FROM events WHERE value BETWEEN 1 AND 200")
 def speed_range(spark, d):
-    return table(spark, d, "events").where(F.col("value").between(speeds.SLOWEST, speeds.FASTEST)).select("event_id")
+    return table(spark, d, "events").where(speeds.plausible(F.col("value"))).select("event_id")
 
 
 @query("flt_14_least_samples", "SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL HAVING count(*) >= 3")
 def least_samples(spark, d):
-    return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= speeds.LEAST_SAMPLES)
+    found = table(spark, d, "events").select(F.col("user_id").alias("src"), F.col("event_type").alias("dst"), F.col("value").alias("kmh"))
+    return speeds.segment_speeds(found).select(F.col("src").alias("user_id"), F.col("dst").alias("event_type"), F.col("sample_count").alias("n"))
 
 
 @query("agg_01_samples_by_segment", f"{_SAMPLES} SELECT src, dst, count(*) AS n, round(min(kmh), 6) AS least, round(max(kmh), 6) AS most FROM samples GROUP BY src, dst")
@@ -127,8 +128,10 @@ def several_files(spark, d):
 
 @query("til_07_zigzag", "SELECT event_id, CASE WHEN v < 0 THEN -v * 2 - 1 ELSE v * 2 END AS code FROM (SELECT event_id, event_id % 2001 - 1000 AS v FROM events)")
 def zigzag(spark, d):
-    v = F.col("event_id") % 2001 - 1000
-    return table(spark, d, "events").select("event_id", F.shiftleft(v, 1).bitwiseXOR(F.shiftright(v, 63)).alias("code"))
+    from ..operators import tiles
+
+    code = F.pandas_udf(lambda v: v.map(tiles.zigzag), "long")
+    return table(spark, d, "events").select("event_id", code(F.col("event_id") % 2001 - 1000).alias("code"))
 
 
 @query("til_02_tile_of_first_vertex", f"{_DOCS} SELECT doc_id, CAST(floor((lon + 180) / 360 * 1024) AS BIGINT) AS x, CAST(floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 1024) AS BIGINT) AS y FROM docs")
@@ -155,7 +158,7 @@ def seconds_between(spark, d):
 @query("jsn_02_line_string", """SELECT user_id, '{"type":"LineString","coordinates":[[' || CAST(CAST(min(event_id) AS BIGINT) AS VARCHAR) || ',' || CAST(CAST(max(event_id) AS BIGINT) AS VARCHAR) || ']]}' AS geojson FROM events GROUP BY user_id""")
 def line_string(spark, d):
     e = table(spark, d, "events").groupBy("user_id").agg(F.min("event_id").alias("a"), F.max("event_id").alias("b"))
-    return e.select("user_id", F.to_json(F.struct(F.lit("LineString").alias("type"), F.array(F.array("a", "b")).alias("coordinates"))).alias("geojson"))
+    return e.select("user_id", routing.line_string(F.array(F.struct(F.col("b").alias("lat"), F.col("a").alias("lon")))).alias("geojson"))
 
 
 @query("bit_01_masks", "SELECT event_id, (event_id >> 3) & 7 AS field, event_id | 1 AS odd FROM events")

@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_SPEEDS, HIGHWAY_CLASS, PROFILE_SPEEDS, SURFACE_CLASS, SURFACE_FACTORS
 from ..functions import road
-from ..functions.geo import haversine_m
-from ..operators import penalties, roads, spatial, speeds
+from ..operators import lines, penalties, roads, spatial, speeds
 from .registry import query, table
 from .views import CONTRIBUTIONS, EDGES, NODES, WAYPOINTS, contributions, edges, haversine_sql, nodes, waypoints
 
@@ -115,13 +114,12 @@ def accessible(spark, d):
 
 @query("rte_09_profiles", "SELECT profile, CAST(pos - 1 AS INTEGER) AS road_class, kmh FROM (" + " UNION ALL ".join(f"SELECT '{p}' AS profile, unnest({list(v)}::DOUBLE[]) AS kmh, unnest(range(1, 9)) AS pos" for p, v in PROFILE_SPEEDS.items()) + ")")
 def profiles(spark, d):
-    rows = [(p, list(v)) for p, v in sorted(PROFILE_SPEEDS.items())]
-    return spark.createDataFrame(rows, "profile string, v array<double>").select("profile", F.posexplode("v").alias("road_class", "kmh"))
+    return road.profile_table(spark)
 
 
 @query("ord_07_profile_names", "SELECT unnest(['bicycle', 'car', 'foot', 'motorcycle']) AS profile, unnest(range(1, 5)) AS position")
 def profile_names(spark, d):
-    return spark.createDataFrame([(p, i + 1) for i, p in enumerate(sorted(PROFILE_SPEEDS))], "profile string, position long")
+    return spark.createDataFrame([(p, i + 1) for i, p in enumerate(road.profile_names())], "profile string, position long")
 
 
 @query("agg_06_node_degree", f"WITH {EDGES} SELECT node_id, count(*) AS n FROM (SELECT src AS node_id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY node_id")
@@ -132,7 +130,7 @@ def node_degree(spark, d):
 
 @query("set_02_referenced_nodes", f"WITH {EDGES} SELECT DISTINCT src AS node_id FROM edges UNION SELECT dst FROM edges")
 def referenced_nodes(spark, d):
-    return edges(spark, d).select(F.explode(F.array("src", "dst")).alias("node_id")).distinct()
+    return roads.reference_counts(edges(spark, d).select(F.array("src", "dst").alias("refs"))).select("node_id")
 
 
 @query("src_11_nodes_of_ways", f"WITH {NODES}, {EDGES} SELECT node_id, lat, lon FROM nodes WHERE node_id IN (SELECT src FROM edges UNION SELECT dst FROM edges)")
@@ -149,9 +147,7 @@ def edges_by_source(spark, d):
 
 @query("join_07_is_edge", f"WITH {EDGES}, {CONTRIBUTIONS} SELECT id, src_node, dst_node FROM contributions c WHERE EXISTS (SELECT 1 FROM edges e WHERE e.src = c.src_node AND e.dst = c.dst_node)")
 def is_edge(spark, d):
-    c = contributions(spark, d)
-    e = edges(spark, d).select(F.col("src").alias("src_node"), F.col("dst").alias("dst_node"))
-    return c.join(e, ["src_node", "dst_node"], "left_semi").select("id", "src_node", "dst_node")
+    return roads.along_edges(contributions(spark, d), edges(spark, d), "src_node", "dst_node").select("id", "src_node", "dst_node")
 
 
 @query("win_01_steps", f"WITH {WAYPOINTS}, s AS (SELECT trip_id, seq, lat, lon, t_sec, lead(lat) OVER w AS tlat, lead(lon) OVER w AS tlon, lead(t_sec) OVER w AS tt FROM waypoints WINDOW w AS (PARTITION BY trip_id ORDER BY seq)), a AS (SELECT trip_id, seq, lat, lon FROM s), x AS (SELECT trip_id, seq, tt - t_sec AS seconds, 6371000.0::DOUBLE * 2 * atan2(sqrt(h), sqrt(1 - h)) AS m FROM (SELECT *, pow(sin(radians(tlat - lat) / 2), 2) + cos(radians(lat)) * cos(radians(tlat)) * pow(sin(radians(tlon - lon) / 2), 2) AS h FROM s WHERE tlat IS NOT NULL)) SELECT trip_id, seq, round(m, 3) AS metres, seconds FROM x")
@@ -169,20 +165,12 @@ def trip_stats(spark, d):
 
 @query("win_03_running_distance", f"{_LEGS} SELECT trip_id, seq, round(sum(leg) OVER (PARTITION BY trip_id ORDER BY seq), 3) AS metres FROM l")
 def running_distance(spark, d):
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("trip_id").orderBy("seq")
-    leg = F.coalesce(haversine_m(F.lag("lat").over(w), F.lag("lon").over(w), "lat", "lon"), F.lit(0.0))
-    return waypoints(spark, d).withColumn("leg", leg).select("trip_id", "seq", F.round(F.sum("leg").over(w.rowsBetween(W.unboundedPreceding, 0)), 3).alias("metres"))
+    return lines.measured(waypoints(spark, d), "trip_id").select("trip_id", "seq", F.round("upto", 3).alias("metres"))
 
 
 @query("win_04_distance_before", f"{_LEGS} SELECT trip_id, seq, round(coalesce(sum(leg) OVER (PARTITION BY trip_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 3) AS metres FROM l")
 def distance_before(spark, d):
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("trip_id").orderBy("seq")
-    leg = F.coalesce(haversine_m(F.lag("lat").over(w), F.lag("lon").over(w), "lat", "lon"), F.lit(0.0))
-    return waypoints(spark, d).withColumn("leg", leg).select("trip_id", "seq", F.round(F.coalesce(F.sum("leg").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)), 3).alias("metres"))
+    return lines.measured(waypoints(spark, d), "trip_id").select("trip_id", "seq", F.round("before", 3).alias("metres"))
 
 
 _SAMPLES = f"""WITH {NODES}, {EDGES}, {WAYPOINTS}, c AS (SELECT w.trip_id, w.seq, n.node_id, {haversine_sql('w', 'n')} AS dist FROM waypoints w JOIN nodes n ON abs(n.lat - w.lat) <= 1000 / 111320.0 AND abs(n.lon - w.lon) <= 1000 / 111320.0),

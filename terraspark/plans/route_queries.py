@@ -185,19 +185,24 @@ def turn_instructions(spark, d):
     return instructions.along(s)
 
 
+#: A request: nodes to start from and nodes to reach, the last of which isn't there.
+_ORIGINS, _DESTINATIONS = (0, 40, 85, 120), (19, 59, 99, 139, 199, 999_999_999)
+
+
+def _matrix(spark, d):
+    named = lambda ids: spark.createDataFrame([(str(i), i) for i in ids], "name string, node_id long")
+    return routing.matrix(named(_ORIGINS), named(_DESTINATIONS), routing.weighted(_graph(spark, d)))
+
+
 @query("rte_16_matrix")
 def matrix(spark, d):
-    """Times between the places of suppliers and of nations' first customers that have a road nearby."""
-    n = nodes(spark, d)
-    o = n.where("row_no % 10 = 0 AND col = 0").select(F.col("node_id").cast("string").alias("name"), "node_id")
-    t = n.where("row_no % 10 = 5 AND col = 19").select(F.col("node_id").cast("string").alias("name"), "node_id")
-    return routing.matrix(o, t, routing.weighted(_graph(spark, d)))
+    """Distances and times of the request's pairs."""
+    return _matrix(spark, d)
 
 
-@query("join_11_pairs", f"WITH {NODES} SELECT a.node_id AS origin, b.node_id AS destination FROM nodes a, nodes b WHERE a.row_no % 10 = 0 AND a.col = 0 AND b.row_no % 10 = 5 AND b.col = 19")
+@query("join_11_pairs", f"SELECT o AS origin, t AS destination FROM (SELECT unnest({[str(i) for i in _ORIGINS]}) AS o), (SELECT unnest({[str(i) for i in _DESTINATIONS]}) AS t)")
 def pairs(spark, d):
-    n = nodes(spark, d)
-    return n.where("row_no % 10 = 0 AND col = 0").select(F.col("node_id").alias("origin")).crossJoin(n.where("row_no % 10 = 5 AND col = 19").select(F.col("node_id").alias("destination")))
+    return _matrix(spark, d).select("origin", "destination")
 
 
 def _features(spark, d):
@@ -334,7 +339,8 @@ def no_repeats(spark, d):
 
 @query("agg_08_route_totals", "SELECT l_orderkey, sum(l_linenumber) AS legs, round(sum(l_extendedprice), 2) AS metres FROM lineitem GROUP BY l_orderkey")
 def route_totals(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum("l_linenumber").alias("legs"), F.round(F.sum("l_extendedprice"), 2).alias("metres"))
+    sums = routing.totals(table(spark, d, "lineitem"), "l_orderkey", "l_extendedprice", "l_linenumber")
+    return sums.select("l_orderkey", F.col("l_linenumber").alias("legs"), F.round("l_extendedprice", 2).alias("metres"))
 
 
 @query("geo_12_simplify")

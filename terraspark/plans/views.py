@@ -52,7 +52,7 @@ def contributions(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
     kind = F.element_at(F.array(*[F.lit(x) for x in ("wrong_turn", "road_closed", "better_route", "roundabout_error", "missing_road", "speed_wrong", "other")]), (k % 7 + 1).cast("int"))
     at = k % 200
-    return table(spark, d, "orders").where(k % 50 == 0).select(k.alias("id"), at.alias("src_node"), F.when(at % 20 < 19, at + 1).otherwise(at - 1).alias("dst_node"), kind.alias("issue_type"), F.col("o_orderdate").alias("created_at"))
+    return table(spark, d, "orders").select(k.alias("id"), at.alias("src_node"), F.when(at % 20 < 19, at + 1).otherwise(at - 1).alias("dst_node"), kind.alias("issue_type"), F.col("o_orderdate").alias("created_at"))
 
 
 PLACES = """sup AS (
@@ -113,7 +113,7 @@ CONTRIBUTIONS = """contributions AS (
          CASE o_orderkey % 7 WHEN 0 THEN 'wrong_turn' WHEN 1 THEN 'road_closed' WHEN 2 THEN 'better_route'
               WHEN 3 THEN 'roundabout_error' WHEN 4 THEN 'missing_road' WHEN 5 THEN 'speed_wrong' ELSE 'other' END AS issue_type,
          o_orderdate AS created_at
-  FROM orders WHERE o_orderkey % 50 = 0)"""
+  FROM orders)"""
 
 
 def haversine_sql(a: str, b: str) -> str:

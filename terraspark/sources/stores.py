@@ -68,7 +68,10 @@ def save_tiles(tiles: DataFrame, path: str, name: str) -> None:
 
 
 def read_open_places(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of all Parquet files directly in a folder; none where there is no file."""
+    """The rows of all Parquet files directly in a folder; none where there is no file or no folder."""
     from ..operators.ingest import open_places
 
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "*.parquet")
+    if not files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(files):
+        return open_places(spark.createDataFrame([], "id string, lat double, lon double, category string, names struct<primary:string>"))
     return open_places(spark.read.option("recursiveFileLookup", False).option("pathGlobFilter", "*.parquet").parquet(path))
