@@ -29,6 +29,8 @@ LENGTHS = (512, 1024, 2048, 4096, 8192)
 #: What a sequence costs besides its length.
 FIXED_COST = 64
 SHARD_TOKENS = 1 << 21
+#: Tasks that shards are dealt to, in turns; beyond as many shards a task packs several, one after the other.
+MOST_TASKS = 20_000
 
 
 def _filled(first: int, size: int, lengths: list[int], left: dict[int, int]) -> int:
@@ -147,5 +149,6 @@ def pack_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str =
         if held:
             yield from finish()
 
-    spread = dealt.select(*names, "shard").repartition(shards, "shard").sortWithinPartitions("shard", F.desc("n_tokens"), "doc_id", "piece")
+    tasks = min(shards, MOST_TASKS)
+    spread = dealt.select(*names, "shard").repartitionById(tasks, F.col("shard") % tasks).sortWithinPartitions("shard", F.desc("n_tokens"), "doc_id", "piece")
     return spread.mapInArrow(run, schema)
