@@ -3,11 +3,12 @@
 Fingerprints take the shingles of `shingle` words of the A-Z lower-cased text, repeats included. A bit is 1 if it is
 set in over half of the shingles' XXH64 hashes. Two fingerprints link when at most RADIUS bits differ.
 
-Candidates: the 64 bits are parted into segments of 21, 21 and 22 bits. If two fingerprints differ in at most 4 bits,
-the first or the second segment differs in at most one, or the third in none. So each distinct fingerprint is a
-resident of one table entry for each segment, and a visitor of those entries of the first two segments that its ball of
-radius one reaches (only by bits that it lacks: the other side of the pair does the rest). What meets in an entry is
-verified over all 64 bits. Inside an entry a breadth-first search links what is connected there, so a dense group costs
+Candidates: the 64 bits are parted into segments, each with a radius, so that of two fingerprints that differ in at
+most 4 bits some segment differs in no more bits than its radius. Up to FEW distinct fingerprints the segments have 21,
+21 and 22 bits with radii 1, 1 and 0; beyond, 32 and 32 bits with radii 2 and 1: more visits, but entries that hold
+next to nothing by chance. Each distinct fingerprint is a resident of one table entry for each segment, and a visitor of
+those entries that the ball of that radius reaches (only greater ones: the other side of the pair does the rest). What
+meets in an entry is verified over all 64 bits. Inside an entry a breadth-first search links what is connected there, so a dense group costs
 as many links as it has members, and no pair is lost: whoever isn't linked directly is linked through others in the
 entry. Entries with more than CROWD members are cut into blocks, and every two blocks are compared by a task of their own.
 
@@ -19,6 +20,7 @@ id, or none where no row of the group has one. Other columns stay.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +33,11 @@ from .shared import materialise, plus, with_columns
 from .textkernel import buffers
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
-#: (lowest bit, bits, radius) of each segment.
+#: (lowest bit, bits, radius) of each segment, for up to FEW distinct fingerprints and for more.
 SEGMENTS = ((0, 21, 1), (21, 21, 1), (42, 22, 0))
+LONG_SEGMENTS = ((0, 32, 2), (32, 32, 1))
+#: Here an entry of 21 bits has some thousand members by chance, and comparing them costs what the longer segments' visits do.
+FEW = 1 << 28
 CROWD = 4096
 
 
@@ -67,25 +72,24 @@ def fingerprints(documents: DataFrame, text_col: str = "text", shingle: int = SH
     return base.mapInArrow(run, plus(base.drop("__text"), **{out: "long"}))
 
 
-def _lacking(value, bits: int):
-    """The powers of two of those of the low bits that value lacks."""
-    return F.filter(F.array(*[F.lit(1 << i) for i in range(bits)]), lambda p: value.bitwiseAND(p) == 0)
+def _ball(value, bits: int, radius: int):
+    """The values that are greater and differ in 1 to radius of the low bits."""
+    masks = [sum(1 << i for i in places) for n in range(1, radius + 1) for places in combinations(range(bits), n)]
+    return F.filter(F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: value.bitwiseXOR(m)), lambda v: v > value)
 
 
-def _entries(fps: DataFrame) -> DataFrame:
+def _entries(fps: DataFrame, segments: tuple) -> DataFrame:
     """(entry, fp) of residents and visitors."""
     at = []
-    for k, (low, bits, radius) in enumerate(SEGMENTS):
-        value = F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << bits) - 1)).cast("long")
-        own = value + F.lit(k << 32)
-        at.append(F.array(own))
-        if radius:
-            at.append(_moved(own, _lacking(value, bits)))
+    for k, (low, bits, radius) in enumerate(segments):
+        value = F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+        found = F.concat(F.array(value), _ball(value, bits, radius)) if radius else F.array(value)
+        at.append(_of_segment(found, k))
     return fps.select("fp", F.explode(F.concat(*at)).alias("entry"))
 
 
-def _moved(own, steps):
-    return F.transform(steps, lambda p: own + p)
+def _of_segment(values, k: int):
+    return F.transform(values, lambda v: v + F.lit(k << 32))
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,9 +147,9 @@ def breadth_first(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
 
 
-def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
+def links(fps: DataFrame, crowd: int = CROWD, few: int = FEW) -> DataFrame:
     """(a, b) of linked fingerprints among the distinct ones in fps (fp long): enough to connect all that are connected."""
-    entries = _entries(fps)
+    entries = _entries(fps, SEGMENTS if fps.count() <= few else LONG_SEGMENTS)
     crowds = materialise(entries.groupBy("entry").agg(F.count("fp").alias("n")).where(F.col("n") > crowd).select("entry", F.ceil(F.col("n") / crowd).cast("long").alias("blocks")), "simhash-crowds")
     many = crowds.count()
     side = F.broadcast(crowds) if many <= 100_000 else crowds.hint("merge")
