@@ -12,7 +12,8 @@ shard. From there on only documents already met are candidates. They are judged
 over blocks of BLOCK documents, and those that cannot reach the threshold are dropped before a posting is read. What
 remains is scored exactly from the documents' own term lists. Each task's best are merged.
 
-Queries run in blocks of bounded size, each broadcast to all shards.
+Queries run in blocks of bounded size, each broadcast to all shards. Where there are several blocks, the shards are
+dealt to tasks once and kept so in the shared folder.
 
 Defined cases: rows without words are never found and find nothing; scores are above 0. Ties (scores equal to nine
 places) go by id, null ids last. Repeated rows are documents each. Null query ids are no queries; rows of
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as tk
-from .shared import materialise
+from .shared import checkpointed, materialise
 
 K1, B = 1.2, 0.75
 TOP = 10
@@ -42,6 +43,8 @@ BLOCK = 64
 LONG = 8
 #: Terms of the queries in one broadcast (16 bytes each).
 QUERY_TERMS = 2_000_000
+#: Shards of one task, where there are more shards than this for each core.
+TASK_SHARDS = 16
 
 
 def bags(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -270,9 +273,13 @@ def search(documents: DataFrame, queries: DataFrame, k: int = TOP, id_col: str =
     weighed = materialise(_terms(asked).join(df.hint("merge"), "term").groupBy("query_id").agg(F.collect_list(F.struct("term", idf.alias("idf"))).alias("terms")), "search-queries")
     blocks = max(1, -(-(weighed.agg(F.sum(F.size("terms"))).first()[0] or 0) // QUERY_TERMS))
     best = None
-    # As many tasks as there are cores: each takes its shards in turn, and what it has found so far is the threshold for the next.
-    tasks = min(shards, max(1, spark.sparkContext.defaultParallelism))
+    # A task takes its shards in turn, and what it has found so far is the threshold for the next. There are as many tasks
+    # as cores, or more where one would have over TASK_SHARDS shards.
+    tasks = min(shards, max(1, spark.sparkContext.defaultParallelism, -(-shards // TASK_SHARDS)))
     dealt = index.repartitionByRange(tasks, "shard").sortWithinPartitions("shard", "term")
+    if blocks > 1:
+        # Every block reads the shards as they were dealt once.
+        dealt = checkpointed(dealt)
     for x in range(blocks):
         rows = weighed.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == x).select("query_id", "terms.term", "terms.idf").toArrow()
         block = spark.sparkContext.broadcast([(q, t.values.to_numpy(), w.values.to_numpy()) for q, t, w in zip(rows.column(0).to_pylist(), rows.column(1), rows.column(2), strict=True)])
