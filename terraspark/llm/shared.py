@@ -2,17 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..tables import materialise, new_path, remove, shared_dir
+from ..tables import new_path, remove, shared_dir
 
-__all__ = ["LOWER", "UPPER", "checkpointed", "fold", "materialise", "new_path", "plus", "remove", "shared_dir", "with_columns"]
+__all__ = ["LOWER", "UPPER", "checkpointed", "fold", "materialise", "new_path", "plus", "remove", "scratch", "shared_dir", "with_columns"]
 
 #: ASCII upper case and its lower case: the only letters that the contracts fold.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+_scopes: list[list[str]] = []
+
+
+def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write df once to the shared folder and read it back. Inside scratch() the table goes when that ends, or with keep when the scratch() around it does."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    around = _scopes[:-1] if keep else _scopes
+    if around:
+        around[-1].append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is materialised inside is deleted at the end; nothing that is read later may come of it unwritten."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            remove(spark, path)
+
 
 def with_columns(df: DataFrame, **columns) -> DataFrame:
     """Like withColumns, but a column that df has already (in any case) is replaced and goes to the end."""

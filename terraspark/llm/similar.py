@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ..operators.graph import components
 from . import simhash
 from . import textkernel as tk
-from .shared import materialise
+from .shared import materialise, scratch
 
 SHINGLE = 5
 #: The least similarity, as a fraction.
@@ -270,13 +270,16 @@ def _side(keys: DataFrame) -> DataFrame:
 
 def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """simhash.keep_one, and of the rest one document of each group of similar ones. Columns as they were."""
-    docs = materialise(simhash.keep_one(documents, id_col, text_col), "similar-documents")
+    spark = documents.sparkSession
+    with scratch(spark):
+        docs = materialise(simhash.keep_one(documents, id_col, text_col), "similar-documents", keep=True)
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.xxhash64(F.col(id_col), text)
-    found = components(materialise(connections(docs.select(key.alias("key"), text.alias("text")), shingle), "similar-links"))
-    named = docs.select(key.alias("node"), F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), key.alias("key")).alias("row"))
-    nodes = materialise(found, "similar-groups")
-    members = materialise(named.join(_side(nodes), "node"), "similar-members")
-    first = members.groupBy("root").agg(F.min("row").alias("row")).select(F.col("row.key").alias("node"))
-    gone = materialise(members.join(first, "node", "left_anti").select(F.col("node").alias("__key")).distinct(), "similar-gone")
+    with scratch(spark):
+        found = components(materialise(connections(docs.select(key.alias("key"), text.alias("text")), shingle), "similar-links"))
+        named = docs.select(key.alias("node"), F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), key.alias("key")).alias("row"))
+        nodes = materialise(found, "similar-groups")
+        members = materialise(named.join(_side(nodes), "node"), "similar-members")
+        first = members.groupBy("root").agg(F.min("row").alias("row")).select(F.col("row.key").alias("node"))
+        gone = materialise(members.join(first, "node", "left_anti").select(F.col("node").alias("__key")).distinct(), "similar-gone", keep=True)
     return docs.withColumn("__key", key).join(_side(gone), "__key", "left_anti").select(documents.columns)

@@ -94,3 +94,18 @@ def test_connections_join_what_links_join(spark, monkeypatch):
         assert {(max(p), min(p)) for p in got} <= {(max(p), min(p)) for p in pairs}
         assert groups(got) == want
         assert sum(min(p) >= 1000 for p in got) < dense
+
+
+def test_only_what_is_read_later_stays(spark, monkeypatch):
+    from terraspark.llm import shared
+
+    made, gone = [], []
+    new, remove = shared.new_path, shared.remove
+    monkeypatch.setattr(shared, "new_path", lambda s, n: made.append(new(s, n)) or made[-1])
+    monkeypatch.setattr(shared, "remove", lambda s, p: gone.append(p) or remove(s, p))
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words, "more"])), (3, "other words"), (3, "other words")], "doc_id long, text string")
+    out = similar.keep_one(docs)
+    assert sorted(r.doc_id for r in out.collect()) == [1, 3]
+    left = {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in set(made) - set(gone)}
+    assert left == {"similar-documents", "similar-gone"} and len(gone) > 5
