@@ -118,8 +118,11 @@ def _between(w: tk.Words, raw: np.ndarray, i: int, j: int) -> str:
 
 def pack_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengths: Sequence[int] = LENGTHS, fixed_cost: int = FIXED_COST, shard_tokens: int = SHARD_TOKENS, with_text: bool = False) -> DataFrame:
     """(doc_id, piece, first_word, n_tokens, bin_id, at, capacity), one row a piece: where it lies in which sequence. With with_text also text, the piece's own."""
-    cut = materialise(pieces(documents, id_col, text_col, max(lengths), with_text), "pieces")
-    total = cut.agg(F.sum("n_tokens")).first()[0] or 0
+    cut = pieces(documents, id_col, text_col, max(lengths), with_text)
+    if not with_text:
+        cut = materialise(cut, "pieces")
+    # Texts aren't written a second time: a first pass over the documents counts, and they are cut again as they are dealt.
+    total = (pieces(documents, id_col, text_col, max(lengths), False) if with_text else cut).agg(F.sum("n_tokens")).first()[0] or 0
     shards = -(-total // shard_tokens) or 1
     dealt = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "n_tokens", F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
     extra = ["text"] if with_text else []
