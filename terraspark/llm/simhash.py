@@ -39,6 +39,8 @@ LONG_SEGMENTS = ((0, 32, 2), (32, 32, 1))
 #: Here an entry of 21 bits has some thousand members by chance, and comparing them costs what the longer segments' visits do.
 FEW = 1 << 28
 CROWD = 4096
+#: A table of this many rows (an id and a hash) is broadcast; a larger one is merge-joined.
+FEW_OTHERS = 1_000_000
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -184,7 +186,13 @@ def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = materialise(fingerprints(documents.select(row.alias("row"), F.col(text_col)), text_col, shingle), "fingerprints")
     groups = _groups(rows.select(F.col("row.id").alias("id"), F.col("__fp").alias("fp")))
     first = rows.groupBy("__fp").agg(F.min("row").alias("row")).join(groups.withColumnRenamed("fp", "__fp").hint("merge"), "__fp").groupBy("__first").agg(F.min("row").alias("__row"))
+    # Few rows go, against those that stay: joining with them needs no shuffle of the texts while they are few enough to broadcast.
+    times = rows.groupBy("row").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("row", "__row")
+    marked = times.join(first.select("__row", F.lit(True).alias("one")).hint("merge"), "__row", "left").where("one IS NULL OR n > 1")
+    others = materialise(marked.select("__row", F.col("one").isNotNull().alias("__repeated")), "simhash-others")
     mine = documents.select(row.alias("__row"), F.struct("*").alias("__all"))
-    stay = mine.join(first.select("__row").hint("merge"), "__row", "left_semi")
+    side = lambda df: F.broadcast(df) if df.count() <= FEW_OTHERS else df.hint("merge")
+    single = mine.join(side(others), "__row", "left_anti").select("__all.*")
     # Repeated rows have equal ids and texts: one of them stays.
-    return stay.groupBy("__row").agg(F.any_value("__all").alias("__all")).select("__all.*")
+    repeated = mine.join(side(others.where("__repeated").select("__row")), "__row", "left_semi").groupBy("__row").agg(F.any_value("__all").alias("__all")).select("__all.*")
+    return single.union(repeated)
