@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..constants import ISSUE_TYPES
 from .geo import _c, valid_position
 
+#: Languages that have a code of their own; any other is carried as it is named.
+LANGUAGES = ("en", "fr", "ar", "sw", "tw", "yo")
+#: Formats by the number that a tile archive's header gives its tiles; what isn't listed counts as mvt.
+ARCHIVE_FORMATS = {1: "mvt", 2: "png", 4: "webp", 6: "mvt"}
 LONGEST_QUERY, MOST_RESULTS, MOST_CELLS = 500, 50, 2500
 #: Formats of tiles and their media types.
 FORMATS = {"mvt": "application/vnd.mapbox-vector-tile", "pbf": "application/vnd.mapbox-vector-tile", "png": "image/png", "webp": "image/webp", "json": "application/json"}
@@ -58,3 +62,29 @@ def duration_text(seconds) -> Column:
 
 def first_hop(forwarded) -> Column:
     return F.trim(F.get(F.split(_c(forwarded), ","), F.lit(0)))
+
+
+def language_code(name) -> Column:
+    """A language's code in lower case, known or not; null stays null."""
+    return F.lower(_c(name))
+
+
+def language_json(name) -> Column:
+    """A language as records carry it: its code, or an object that names another."""
+    code = language_code(name)
+    return F.when(code.isin(*LANGUAGES), F.concat(F.lit('"'), code, F.lit('"'))).otherwise(F.to_json(F.when(code.isNotNull(), F.struct(code.alias("other")))))
+
+
+def archive_format(tile_type) -> Column:
+    """The format of an archive's tiles; an unknown type counts as mvt."""
+    out = F
+    for k, v in ARCHIVE_FORMATS.items():
+        out = out.when(_c(tile_type) == k, v)
+    return out.otherwise("mvt")
+
+
+def rfc3339(ts=None) -> Column:
+    """A time, or now, as RFC 3339 text in UTC, with as many decimals of a second as it has."""
+    t = F.current_timestamp() if ts is None else _c(ts).cast("timestamp")
+    part = F.date_format(F.to_utc_timestamp(t, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return F.concat(F.rtrim(F.rtrim(part, F.lit("0")), F.lit(".")), F.lit("Z"))

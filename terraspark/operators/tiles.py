@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..constants import AREA_KEYS, LINE_KEYS, POINT_KEYS, TILE_PROPERTIES, TOLERANCES
 from ..functions import geo
+from ..tables import numbered
 
 EXTENT, LAYER = 4096, "default"
 POINT, LINE, POLYGON = 1, 2, 3
@@ -37,6 +38,23 @@ def properties(tags) -> Column:
     return F.map_filter(geo._c(tags), lambda k, v: k.isin(*TILE_PROPERTIES))
 
 
+def extract_features(elements: DataFrame) -> DataFrame:
+    """(id, kind, points, properties) of an extract's elements (kind, id, lat, lon, tags, points) that are shown on tiles.
+
+    These are nodes of a shown kind inside the region, and ways of a shown kind that carry positions of two nodes or
+    more, one of them inside. A way of four nodes or more whose last lies on its first is closed. Ids count from 1,
+    nodes before ways and by their own ids, so they do not depend on how the extract was read.
+    """
+    node, tags, points = F.col("kind") == "node", F.col("tags"), F.col("points")
+    at = F.when(node, F.array(F.struct("lat", "lon"))).otherwise(points)
+    closed = (F.size(points) >= 4) & (F.get(points, F.lit(0)) == F.get(points, F.size(points) - 1))
+    shown = F.when(node, F.when(point_class(tags), POINT)).when((F.col("kind") == "way") & (F.size(points) >= 2), way_class(F.map_entries(tags), closed))
+    inside = F.exists("at", lambda p: geo.in_box(p["lat"], p["lon"]))
+    rows = elements.select("id", F.col("kind").alias("element"), shown.alias("kind"), at.alias("points"), at.alias("at"), properties(tags).alias("properties"))
+    kept = rows.where(F.col("kind").isNotNull() & inside).drop("at").withColumnRenamed("id", "own")
+    return numbered(kept, ["element", "own"], "id").select("id", "kind", "points", "properties")
+
+
 def simplified(points: np.ndarray, tolerance: float) -> np.ndarray:
     """Which points a line keeps: those further than the tolerance from the chord of what is kept around them (Ramer, Douglas, Peucker), without recursion."""
     keep = np.zeros(len(points), bool)

@@ -6,11 +6,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..constants import ISSUE_TYPES, TAG_CATEGORIES
-from ..functions import text
+from ..functions import requests, text
 from ..operators import ingest, lines, routing, speeds
 from .registry import query, table
 from .road_queries import _SAMPLES, _SEGMENTS, _SPEEDS, _samples, _ways
-from .route_queries import _VALUES, _elements, _value_sql
+from .route_queries import _K, _KEYS, _VALUES, _elements, _value_sql
 from .text_queries import _COUNTRY, _DOCS, _docs, _requests
 from .views import EDGES, WAYPOINTS, edges, nodes, waypoints
 
@@ -174,3 +174,45 @@ def windows(spark, d):
 
     e = table(spark, d, "events").select("ts", F.col("event_type").alias("kind"))
     return windowed_counts(e.withColumn("ts", F.col("ts").cast("timestamp")), size="1 day").select(F.col("start").cast("timestamp_ntz").alias("start"), "kind", "n")
+
+
+@query("str_09_language_code", "SELECT doc_id, lower(lang) AS code FROM documents")
+def language_code(spark, d):
+    asked = F.when(F.col("doc_id") % 2 == 0, F.upper("lang")).otherwise(F.col("lang"))
+    return table(spark, d, "documents").select("doc_id", requests.language_code(asked).alias("code"))
+
+
+@query("str_13_language_json", """SELECT doc_id, CASE WHEN lang IN ('en', 'fr', 'ar', 'sw', 'tw', 'yo') THEN '"' || lang || '"' ELSE '{"other":"' || lang || '"}' END AS tag FROM documents""")
+def language_json(spark, d):
+    return table(spark, d, "documents").select("doc_id", requests.language_json("lang").alias("tag"))
+
+
+@query("til_11_archive_format", "SELECT p_partkey, CASE p_partkey % 8 WHEN 2 THEN 'png' WHEN 4 THEN 'webp' ELSE 'mvt' END AS format FROM part")
+def archive_format(spark, d):
+    return table(spark, d, "part").select("p_partkey", requests.archive_format(F.col("p_partkey") % 8).alias("format"))
+
+
+@query("dat_04_rfc3339", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(ts) % 1000000 = 0 THEN '' ELSE '.' || rtrim(lpad(CAST(epoch_us(ts) % 1000000 AS VARCHAR), 6, '0'), '0') END || 'Z' AS t FROM events")
+def rfc3339_text(spark, d):
+    return table(spark, d, "events").select("event_id", requests.rfc3339("ts").alias("t"))
+
+
+@query("src_13_tile_features", f"""WITH e AS (SELECT p_partkey AS k, p_partkey % 2 = 0 AS node, {_K(1)} AS tag, CAST(p_partkey % 140 - 70 AS DOUBLE) AS lat, CAST(p_partkey % 97 - 48 AS DOUBLE) AS lon,
+    CASE WHEN p_partkey % 2 = 0 THEN 1 WHEN p_partkey % 5 = 0 THEN 1 WHEN p_partkey % 3 = 0 THEN 4 ELSE 2 END AS n FROM part),
+f AS (SELECT *, CASE WHEN node THEN CASE WHEN tag IN ('place', 'amenity', 'natural') THEN 1 END WHEN n < 2 THEN NULL WHEN tag = 'highway' THEN 2 WHEN n = 4 AND tag IN ('building', 'natural', 'amenity', 'area') THEN 3 END AS kind,
+    lat BETWEEN -35 AND 38 AND lon BETWEEN -25 AND 55 AS a, n > 1 AND lat + 1 BETWEEN -35 AND 38 AND lon BETWEEN -25 AND 55 AS b, n > 2 AND lat BETWEEN -35 AND 38 AND lon + 1 BETWEEN -25 AND 55 AS c FROM e)
+SELECT row_number() OVER (ORDER BY node DESC, k) AS id, kind, CAST(n AS INTEGER) AS n_points, lat, lon FROM f WHERE kind IS NOT NULL AND (a OR b OR c)""")
+def tile_features(spark, d):
+    """Odd parts are ways of one, two or four positions, even ones nodes; some lie outside the region."""
+    from ..operators import tiles
+
+    k, node = F.col("p_partkey"), F.col("p_partkey") % 2 == 0
+    lat, lon = (k % 140 - 70).cast("double"), (k % 97 - 48).cast("double")
+    way = F.array(*[F.struct((lat + a).alias("lat"), (lon + b).alias("lon")) for a, b in ((0, 0), (1, 0), (0, 1), (0, 0))])
+    n = F.when(k % 5 == 0, 1).when(k % 3 == 0, 4).otherwise(2)
+    key = F.element_at(F.array(*[F.lit(x) for x in _KEYS]), (k % len(_KEYS) + 1).cast("int"))
+    elements = table(spark, d, "part").select(
+        F.when(node, "node").otherwise("way").alias("kind"), k.alias("id"), F.when(node, lat).alias("lat"), F.when(node, lon).alias("lon"),
+        F.create_map(key, F.lit("yes")).alias("tags"), F.when(~node, F.slice(way, F.lit(1), n)).alias("points"))
+    first = F.col("points")[0]
+    return tiles.extract_features(elements).select("id", "kind", F.size("points").alias("n_points"), first["lat"].alias("lat"), first["lon"].alias("lon"))

@@ -1,6 +1,7 @@
 """Map extracts in the public protobuf block format, as a Python data source: spark.read.format("osmpbf").load(files).
 
-Rows are elements (kind, id, lat, lon, tags map, refs array). A partition is a run of whole blocks of one file. The
+Rows are elements (kind, id, lat, lon, tags map, refs array, and points, an array of (lat, lon), of ways that carry
+their nodes' positions). A partition is a run of whole blocks of one file. The
 files must be readable as local paths by the executors (a mounted store); anything else is an error.
 """
 
@@ -14,7 +15,7 @@ from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-SCHEMA = "kind string, id long, lat double, lon double, tags map<string,string>, refs array<long>"
+SCHEMA = "kind string, id long, lat double, lon double, tags map<string,string>, refs array<long>, points array<struct<lat:double,lon:double>>"
 #: Bytes of blocks in one partition.
 SPAN = 32 << 20
 
@@ -96,16 +97,18 @@ def elements(block: bytes) -> Iterator[tuple]:
                         tags[strings[kv[at]]] = strings[kv[at + 1]]
                         at += 2
                     at += 1
-                    yield "node", i, where(a, lat0), where(o, lon0), tags, None
+                    yield "node", i, where(a, lat0), where(o, lon0), tags, None, None
             elif k in (1, 3, 4):
                 part = dict(fields(v))
                 tags = named(numbers(part.get(2, b"")), numbers(part.get(3, b"")))
                 if k == 1:
                     i, a, o = ((part[n] >> 1) ^ -(part[n] & 1) for n in (1, 8, 9))
-                    yield "node", i, where(a, lat0), where(o, lon0), tags, None
+                    yield "node", i, where(a, lat0), where(o, lon0), tags, None, None
                 else:
                     refs = numbers(part.get(8 if k == 3 else 9, b""), True, True)
-                    yield "way" if k == 3 else "relation", _signed(part[1]), None, None, tags, refs
+                    lats, lons = (numbers(part.get(n, b""), True, True) if k == 3 else [] for n in (9, 10))
+                    points = [(where(a, lat0), where(o, lon0)) for a, o in zip(lats, lons, strict=True)] or None
+                    yield "way" if k == 3 else "relation", _signed(part[1]), None, None, tags, refs, points
 
 
 def blobs(f) -> Iterator[tuple[int, str, int]]:

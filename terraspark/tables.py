@@ -8,6 +8,8 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,3 +51,11 @@ def shuffled_by(spark: SparkSession, rows: int, each: int = 200_000) -> Iterator
         yield
     finally:
         spark.conf.set(name, before)
+
+
+def numbered(df: DataFrame, by: list[str], name: str) -> DataFrame:
+    """df with the numbers from 1 in the order of columns `by`, sorted by ranges: no task sees all rows, and what is broadcast is one count a partition."""
+    placed = materialise(df.orderBy(*by).withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}), "numbered")
+    before = F.coalesce(F.sum("n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).select("__part", before.alias("__before"))
+    return placed.join(F.broadcast(starts), "__part").withColumn(name, F.col("__before") + F.col("__at") + 1).drop("__part", "__at", "__before")

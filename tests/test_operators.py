@@ -221,6 +221,40 @@ def test_map_extract(spark, tmp_path):
     assert rows["way", 77].refs == [10, 11] and rows["way", 77].tags == {"highway": "primary"}
 
 
+def test_features_of_an_extract(spark, tmp_path):
+    import struct
+
+    strings = [b"", b"highway", b"primary", b"amenity", b"bank", b"building", b"yes"]
+    table = b"".join(tiles._field(1, s) for s in strings)
+    place = lambda values: _packed([round(v * 1e7) for v in values], steps=True)
+    dense = _message((1, _packed([9, 8, 7], steps=True)), (8, place([5.6, 60.0, 5.7])), (9, place([-0.1, -0.1, -0.2])), (10, _packed([3, 4, 0, 3, 4, 0, 0], signed=False)))
+    way = lambda i, key, lats, lons: _message((1, i), (2, _packed([key], signed=False)), (3, _packed([key + 1], signed=False)), (9, place(lats)), (10, place(lons)))
+    ways = [way(1, 1, [50.0, 5.0], [0.0, 0.0]), way(2, 5, [5.0, 5.1, 5.1, 5.0], [0.0, 0.0, 0.1, 0.0]), way(3, 1, [5.0], [0.0]), way(4, 5, [5.0, 5.1], [0.0, 0.0]), way(5, 1, [50.0, 51.0], [0.0, 0.0])]
+    block = _message((1, table), (2, _message((2, dense))), (2, _message(*[(3, w) for w in ways])), (2, _message((3, _message((1, 6), (2, _packed([1], signed=False)), (3, _packed([2], signed=False)))))))
+    body = _message((1, block))
+    head = _message((1, b"OSMData"), (3, len(body)))
+    (tmp_path / "x.osm.pbf").write_bytes(struct.pack(">I", len(head)) + head + body)
+    osmpbf.register(spark)
+    rows = tiles.extract_features(spark.read.format("osmpbf").option("path", str(tmp_path)).load()).orderBy("id").collect()
+    # The bank inside, the road with one end inside and the closed building; ids count on from 1.
+    assert [(r.id, r.kind, [(round(p.lat, 6), round(p.lon, 6)) for p in r.points]) for r in rows] == [
+        (1, tiles.POINT, [(5.6, -0.1)]), (2, tiles.LINE, [(50.0, 0.0), (5.0, 0.0)]), (3, tiles.POLYGON, [(5.0, 0.0), (5.1, 0.0), (5.1, 0.1), (5.0, 0.0)])]
+
+
+def test_numbered_over_partitions(spark):
+    from terraspark.tables import numbered
+
+    rows = numbered(spark.range(500).repartition(7).withColumn("by", -F.col("id")), ["by"], "n").collect()
+    assert sorted((r.n, r.by) for r in rows) == [(i + 1, i - 499) for i in range(500)]
+
+
+def test_now_and_languages(spark):
+    from terraspark.functions import requests
+
+    r = one(spark, text.rfc3339_seconds(requests.rfc3339()) - F.unix_micros(F.current_timestamp()) / F.lit(1e6), *[requests.language_json(F.lit(x).cast("string")) for x in ("FR", "De", None)])
+    assert abs(r[0]) < 1e-3 and r[1:] == ('"fr"', '{"other":"de"}', None)
+
+
 def test_stores(spark, tmp_path):
     trip = [("t1", "car", "2026-01-01T00:00:00+01:00", None, [(5.0, 0.0, "2026-01-01T00:00:00+01:00", None, None), (5.001, 0.0, "2026-01-01T00:00:30+01:00", None, None)])]
     df = spark.createDataFrame(trip, stores.TRIPS)
