@@ -202,6 +202,21 @@ def hilbert(z: int, x: int, y: int) -> int:
     return base + d
 
 
+def tile_of(number: int) -> tuple[int, int, int]:
+    """The zoom, x and y of a tile by its number; hilbert() backwards."""
+    z = ((3 * number + 1).bit_length() - 1) // 2
+    rest, x, y = number - (4**z - 1) // 3, 0, 0
+    for level in range(z):
+        side = 1 << level
+        rx, ry = rest >> 1 & 1, (rest ^ rest >> 1) & 1
+        if not ry:
+            if rx:
+                x, y = side - 1 - x, side - 1 - y
+            x, y = y, x
+        x, y, rest = x + side * rx, y + side * ry, rest >> 2
+    return z, x, y
+
+
 def tile_json(made: DataFrame, name: str, url: str) -> DataFrame:
     """One row: the description of a tile set."""
     return made.agg(F.to_json(F.struct(F.lit("3.0.0").alias("tilejson"), F.lit(name).alias("name"), F.array(F.lit(f"{url}/v1/tiles/{name}/{{z}}/{{x}}/{{y}}.pbf")).alias("tiles"), F.min("z").alias("minzoom"), F.max("z").alias("maxzoom"))).alias("tilejson"))

@@ -248,6 +248,25 @@ def test_numbered_over_partitions(spark):
     assert sorted((r.n, r.by) for r in rows) == [(i + 1, i - 499) for i in range(500)]
 
 
+def test_tile_archives_of_a_folder(spark, tmp_path):
+    from terraspark.sources import tilearchive
+
+    tilearchive.register(spark)
+    load = lambda where: spark.read.format("tilearchive").load(str(where))
+    assert load(tmp_path / "none").count() == 0 and load(tmp_path).count() == 0
+    rows = [(7, i, 3, tiles.hilbert(7, i, 3), bytes([i % 256]) * 9) for i in range(128)] + [(0, 0, 0, 0, b"all")]
+    made = spark.createDataFrame(rows, "z int, x long, y long, tile_id long, data binary")
+    pmtiles.write(made, str(tmp_path / "one.pmtiles"))
+    ids = spark.createDataFrame([(tiles.hilbert(8, x, y), 8, b"%d" % (x * y)) for x in range(0, 256) for y in range(0, 80)], "tile_id long, z int, data binary")
+    assert pmtiles.write(ids, str(tmp_path / "two.pmtiles")) == 20_480
+    got = load(tmp_path).cache()
+    assert sorted((r.z, r.x, r.y, r.tile_id, bytes(r.data)) for r in got.where("tileset = 'one'").collect()) == sorted(rows)
+    two = got.where("tileset = 'two'").collect()
+    assert len(two) == 20_480 and all(bytes(r.data) == b"%d" % (r.x * r.y) and r.z == 8 and r.format == "mvt" for r in two)
+    assert load(tmp_path / "one.pmtiles").count() == 129
+    assert all(tiles.tile_of(tiles.hilbert(z, x, y)) == (z, x, y) for z in range(6) for x in range(2**z) for y in range(2**z))
+
+
 def test_now_and_languages(spark):
     from terraspark.functions import requests
 
