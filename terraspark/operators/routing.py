@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from ..tables import new_path, remove
 
-#: Edges of a graph that is broadcast (32 bytes each).
-MOST_EDGES = 20_000_000
+#: Edges of a graph that is broadcast: five numbers of 8 bytes each, 80 MB on the driver and in each Python worker.
+MOST_EDGES = 2_000_000
 
 
 @dataclass
@@ -81,8 +81,9 @@ def shortest_paths(requests: DataFrame, edges: DataFrame) -> DataFrame:
     """
     if edges.count() > MOST_EDGES:
         return _relaxed_paths(requests, edges)
-    t = edges.toPandas()
-    graph = Graph.of(*(t[c].to_numpy() for c in ("src", "dst", "cost", "distance_m", "time_ds")))
+    columns = ("src", "dst", "cost", "distance_m", "time_ds")
+    t = edges.select(*columns).toArrow()
+    graph = Graph.of(*(t[c].to_numpy() for c in columns))
     shared = requests.sparkSession.sparkContext.broadcast(graph)
     per = requests.select("request", F.col("src").cast("long"), F.col("dst").cast("long")).repartition("src").sortWithinPartitions("src")
 

@@ -126,6 +126,19 @@ def search_all(requests: DataFrame, places: DataFrame, fields: list[str], filter
     return with_filters(scored, places, requests, filters) if filters else scored
 
 
+def containing(asked: DataFrame, part, rows: DataFrame, whole, size: int = 3) -> DataFrame:
+    """asked joined with the rows whose text `whole` contains `part`, by the first `size` characters of the part: an equi-join, verified.
+
+    Parts of fewer characters than that are joined as they are; an empty or null part is in no text.
+    """
+    grams = F.array_distinct(F.flatten(F.transform(F.array(*[F.lit(n) for n in range(1, size + 1)]), lambda n: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.char_length("__whole") - n + 1, F.lit(1))), lambda i: F.substring("__whole", i, n)))))
+    kept = rows.withColumn("__whole", whole).where("__whole <> ''")
+    held = kept.withColumn("__gram", F.explode(grams))
+    wanted = asked.withColumn("__part", part).withColumn("__gram", F.substring("__part", 1, size))
+    return wanted.join(held, "__gram").where(F.contains("__whole", "__part")).drop("__gram", "__whole", "__part")
+
+
 def resolve(requests: DataFrame, places: DataFrame, landmarks: DataFrame, limit: int = 5) -> DataFrame:
     """Requests (request, q, lang, country) parsed and answered: (request, position, name, confidence).
 
@@ -139,7 +152,8 @@ def resolve(requests: DataFrame, places: DataFrame, landmarks: DataFrame, limit:
     answers = rank_geocode(search_all(main, places, ["name", "name_ascii", "name_phonetic"], ["country"]), places, main, limit)
     best = answers.groupBy("request").agg(F.max("confidence").alias("best"))
     weak = parsed.where("p.landmark IS NOT NULL").join(best, "request", "left").where("best IS NULL OR best < 0.5").select("request", "country", F.col("p.landmark").alias("landmark"), F.col("p.relation").alias("relation"))
-    named = weak.join(landmarks.select(F.col("doc_id").alias("mark"), F.col("name").alias("mark_name"), F.col("lat").alias("mlat"), F.col("lon").alias("mlon")), F.lower("mark_name").contains(F.lower("landmark")))
+    marks = landmarks.select(F.col("doc_id").alias("mark"), F.lower("name").alias("mark_name"), F.col("lat").alias("mlat"), F.col("lon").alias("mlon"))
+    named = containing(weak, F.lower("landmark"), marks, F.col("mark_name"))
     first = named.groupBy("request", "country", "landmark", "relation").agg(F.min_by(F.struct("mlat", "mlon"), "mark").alias("m"))
     from ..functions.geo import relation_box
 
