@@ -4,7 +4,7 @@ Words are runs of 0-9, a-z and non-ASCII characters after A-Z is lower-cased. A
 benchmark item; an item of fewer words, but not none, is one window. A training window whose hash is in the set is
 verified word by word. Its words are hit; spans of hit words, or documents that have any, can be removed.
 
-The set is broadcast in blocks of at most MAX_WINDOWS windows, whose size is checked; the documents pass over one
+The set is broadcast in blocks of about MAX_WINDOWS windows or MAX_BYTES at most, whose size is checked, as flat arrays; the documents pass over one
 block after another, and what each found is carried along, so no benchmark is too large.
 
 Defined cases: a null or empty text, or one without words, has no words and no hits. Benchmark rows with equal item_id
@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,39 +29,64 @@ from .shared import materialise, plus
 
 N = 10
 MAX_WINDOWS = 1_000_000
+#: Bytes of the texts and numbers of the windows that are broadcast at a time, and of a window's numbers.
+MAX_BYTES, WINDOW_BYTES = 64 << 20, 20
 _SLOTS = 1 << 20
 _SPANS = pa.list_(pa.struct([("at", pa.int64()), ("size", pa.int64()), ("item", pa.string())]))
 
 
+@dataclass
+class Sized:
+    """Windows of one length, sorted by hash: their texts in one blob, and the number of each one's item, -1 for none."""
+
+    hashes: np.ndarray
+    maybe: np.ndarray
+    offsets: np.ndarray
+    blob: bytes
+    items: np.ndarray
+
+    @classmethod
+    def of(cls, hashes: np.ndarray, texts: pa.BinaryArray, items: np.ndarray) -> Sized:
+        order = np.argsort(hashes, kind="stable")
+        texts = texts.take(pa.array(order))
+        maybe = np.zeros(_SLOTS, bool)
+        maybe[(hashes & np.uint64(_SLOTS - 1)).astype(np.int64)] = True
+        data, offs = tk.buffers(texts)
+        return cls(hashes[order], maybe, offs, data.tobytes(), items[order])
+
+
 @dataclass
 class Windows:
-    """Benchmark windows by their length: sorted hashes, and for each its texts with their item ids."""
+    """Benchmark windows by their length, in flat arrays: about 20 bytes for each beside its text."""
 
-    hashes: dict[int, np.ndarray]
-    maybe: dict[int, np.ndarray]
-    texts: dict[int, dict[int, dict[bytes, set[str | None]]]]
+    sized: dict[int, Sized]
+    names: list[str]
 
     @classmethod
-    def of(cls, rows: list[tuple[int, int, bytes, str | None]]) -> Windows:
-        texts: dict = defaultdict(lambda: defaultdict(lambda: defaultdict(set)))
-        for size, h, text, item in rows:
-            texts[size][h & (1 << 64) - 1][bytes(text)].add(item)
-        hashes = {k: np.sort(np.fromiter(v, np.uint64, len(v))) for k, v in texts.items()}
-        maybe = {}
-        for k, v in hashes.items():
-            maybe[k] = np.zeros(_SLOTS, bool)
-            maybe[k][(v & np.uint64(_SLOTS - 1)).astype(np.int64)] = True
-        return cls(hashes, maybe, {k: {h: dict(t) for h, t in v.items()} for k, v in texts.items()})
+    def of(cls, table: pa.Table) -> Windows:
+        """Of a table (size, hash, words, item)."""
+        coded = table.column("item").combine_chunks().dictionary_encode()
+        items = pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False)
+        size, hashes = table.column("size").to_numpy(), table.column("hash").to_numpy().view(np.uint64)
+        words = table.column("words").combine_chunks()
+        sized = {}
+        for k in np.unique(size).tolist():
+            at = np.flatnonzero(size == k)
+            sized[k] = Sized.of(hashes[at], words.take(pa.array(at)), items[at])
+        return cls(sized, coded.dictionary.to_pylist())
 
     def find(self, w: tk.Words, h: np.ndarray) -> Iterator[tuple[int, int, set[str | None]]]:
         """First word, length and items of each occurrence of a window."""
-        for k, sorted_hashes in self.hashes.items():
+        for k, s in self.sized.items():
             g = tk.window_hashes(h, k)
-            at = np.flatnonzero(self.maybe[k][(g & np.uint64(_SLOTS - 1)).astype(np.int64)] & tk.windows_inside(w.doc, k))
-            there = np.minimum(np.searchsorted(sorted_hashes, g[at]), len(sorted_hashes) - 1)
-            for i in at[sorted_hashes[there] == g[at]].tolist():
-                if items := self.texts[k][int(g[i])].get(w.text(i, i + k)):
-                    yield i, k, items
+            at = np.flatnonzero(s.maybe[(g & np.uint64(_SLOTS - 1)).astype(np.int64)] & tk.windows_inside(w.doc, k))
+            low, high = (np.searchsorted(s.hashes, g[at], side) for side in ("left", "right"))
+            some = low < high
+            for i, a, b in zip(at[some].tolist(), low[some].tolist(), high[some].tolist(), strict=True):
+                text = w.text(i, i + k)
+                rows = [r for r in range(a, b) if s.blob[s.offsets[r] : s.offsets[r + 1]] == text]
+                if rows:
+                    yield i, k, {None if s.items[r] < 0 else self.names[s.items[r]] for r in rows}
 
 
 def windows_of(items: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
@@ -89,16 +115,16 @@ def scan(documents: DataFrame, items: DataFrame, text_col: str = "text", item_id
     """documents with n_words, n_hit, hit_spans (array of [first word, words after), n_items and item_ids (sorted as strings), contaminated, and clean_text, which keeps what lies outside hit spans."""
     spark = documents.sparkSession
     windows = materialise(windows_of(items, item_id, item_text, n), "benchmark-windows")
-    blocks = max(1, -(-windows.count() // max_windows))
+    count, size = windows.agg(F.count(F.lit(1)), F.sum(F.octet_length("words"))).first()
+    blocks = max(1, -(-count // max_windows), -(-((size or 0) + WINDOW_BYTES * count) // MAX_BYTES))
     new = {"n_words": "long", "n_hit": "long", "hit_spans": "array<struct<at:bigint,size:bigint>>", "n_items": "long", "item_ids": "array<string>", "contaminated": "boolean", "clean_text": "string"}
     keep = [c for c in documents.columns if c.lower() not in new]
     df = documents.select(*[F.col(f"`{c}`") for c in keep])
     text_at = keep.index(text_col)
     found = "__found"
 
-    def block(k: int) -> list[tuple]:
-        part = windows.where(F.pmod(F.xxhash64("size", "hash"), F.lit(blocks)) == k) if blocks > 1 else windows
-        return [(r["size"], r["hash"], r["words"], r["item"]) for r in part.collect()]
+    def block(k: int) -> pa.Table:
+        return (windows.where(F.pmod(F.xxhash64("size", "hash"), F.lit(blocks)) == k) if blocks > 1 else windows).toArrow()
 
     def runner(index, last: bool, carried: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
