@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..tables import new_path, remove, shared_dir
+from ..tables import new_path, remove, shared_dir, swept
 
-__all__ = ["LOWER", "UPPER", "checkpointed", "fold", "materialise", "new_path", "plus", "remove", "scratch", "shared_dir", "with_columns"]
+__all__ = ["LOWER", "UPPER", "checkpointed", "fold", "materialise", "new_path", "plus", "remove", "scratch", "shared_dir", "swept", "with_columns"]
 
 #: ASCII upper case and its lower case: the only letters that the contracts fold.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -22,7 +22,8 @@ _scopes: list[list[str]] = []
 def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write df once to the shared folder and read it back. Inside scratch() the table goes when that ends, or with keep when the scratch() around it does."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with swept(df.sparkSession):
+        df.write.parquet(path)
     around = _scopes[:-1] if keep else _scopes
     if around:
         around[-1].append(path)

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as tk
-from .shared import materialise, new_path, plus, with_columns
+from .shared import materialise, new_path, plus, remove, scratch, with_columns
 
 WINDOW, GRAM = 35, 8
 BITS = 28
@@ -334,8 +334,9 @@ def dedup_passages(documents: DataFrame, text_col: str = "text", window: int = W
         raise ValueError(f"a window has at least {GRAM} words")
     spark = documents.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    counted = materialise(anchors(documents.select(text.alias("text")), window).where("n > 1"), "anchors")
-    twice, crowded = bitmap(counted.select("anchor")), bitmap(counted.where(F.col("n") > CROWD).select("anchor"))
+    with scratch(spark):
+        counted = materialise(anchors(documents.select(text.alias("text")), window).where("n > 1"), "anchors")
+        twice, crowded = bitmap(counted.select("anchor")), bitmap(counted.where(F.col("n") > CROWD).select("anchor"))
     shards = (documents.agg(F.sum(F.octet_length(text))).first()[0] or 0) // SHARD_BYTES + 1
     hashed = [F.col(f"`{f.name}`") for f in documents.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
     shard = F.pmod(F.xxhash64(*hashed), F.lit(shards))
@@ -343,7 +344,10 @@ def dedup_passages(documents: DataFrame, text_col: str = "text", window: int = W
     pieces(documents.select(shard.alias("shard"), text.alias("text")), twice, crowded, window).withColumn("need", F.col("shard").isNotNull()).write.partitionBy("need").parquet(path)
     rows = spark.read.schema("deal long, shard long, text binary, n long, need boolean").parquet(path)
     confirmed = materialise(passages(rows.where("NOT need").select("deal", "text", "n"), window), "passages")
-    wanted = rows.where("need").select("deal", "shard").distinct().join(confirmed.hint("merge"), "deal")
+    remove(spark, f"{path}/need=false")
+    # What is left of the table is listed anew.
+    left = spark.read.schema("deal long, shard long, need boolean").parquet(path)
+    wanted = left.where("need").select("deal", "shard").distinct().join(confirmed.hint("merge"), "deal")
     whole = documents.select(shard.alias("shard"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("passage"), F.struct("*").alias("__all"))
     none = F.lit(None).cast(whole.schema["__all"].dataType)
     both = wanted.select("shard", F.lit(0).alias("kind"), "passage", none.alias("__all")).unionByName(whole)

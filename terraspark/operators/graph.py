@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..tables import new_path, remove, shuffled_by
+from ..tables import new_path, remove, shuffled_by, swept
 
 MAX_ROUNDS = 60
 
@@ -21,9 +21,10 @@ def components(links: DataFrame) -> DataFrame:
     spark = links.sparkSession
     schema = "a long, b long"
     first = new_path(spark, "links")
-    links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).groupBy("a", "b").agg(F.lit(1)).select("a", "b").write.parquet(first)
+    with swept(spark):
+        links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).groupBy("a", "b").agg(F.lit(1)).select("a", "b").write.parquet(first)
     size = spark.read.schema(schema).parquet(first).count()
-    with shuffled_by(spark, size):
+    with shuffled_by(spark, size), swept(spark):
         return _settled(spark, first, schema)
 
 

@@ -30,7 +30,8 @@ def new_path(spark: SparkSession, name: str) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back: lineage ends there, and a lost executor costs a reread."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with swept(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -41,6 +42,18 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """While this lasts, the shuffle files of a write go as soon as it is done; else they stay until the driver collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 @contextmanager
 def shuffled_by(spark: SparkSession, rows: int, each: int = 200_000) -> Iterator[None]:
     """While this lasts, what is planned is shuffled into partitions of about `each` of these rows, no more than the session's number of them."""
