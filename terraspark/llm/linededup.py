@@ -148,7 +148,8 @@ def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     dropped = materialise(keys.join(side, KEY).where(F.col("id") < F.col("top")).groupBy("id", "row").agg(F.collect_set("pos").alias("gone")), "line-dropped")
     remove(spark, path)
     taken = documents.select(F.col(id_col).alias("__id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__row"), F.struct("*").alias("__all"))
-    joined = taken.join(dropped.withColumnsRenamed({"id": "__id", "row": "__row"}), ["__id", "__row"], "left")
+    # One plan at every size, so that what a small table costs tells what a large one will.
+    joined = taken.join(dropped.withColumnsRenamed({"id": "__id", "row": "__row"}).hint("merge"), ["__id", "__row"], "left")
     text = F.coalesce(F.col("__all").getField(text_col), F.lit(""))
     split = joined.select("__all", "gone", F.split(text, "\n").alias("__lines"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("gone"))

@@ -233,7 +233,8 @@ def _verified(pairs: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
     pairs = materialise(pairs, "similar-candidates")
     keys = materialise(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "similar-keys")
     texts = materialise(rows.join(_side(keys), "key", "left_semi").dropDuplicates(["key"]), "similar-texts")
-    both = pairs.join(texts.withColumnsRenamed({"key": "a", "text": "one"}), "a").join(texts.withColumnsRenamed({"key": "b", "text": "two"}), "b").select("a", "b", "one", "two")
+    # Merge joins at every size, so that what a small table costs tells what a large one will.
+    both = pairs.join(texts.withColumnsRenamed({"key": "a", "text": "one"}).hint("merge"), "a").join(texts.withColumnsRenamed({"key": "b", "text": "two"}).hint("merge"), "b").select("a", "b", "one", "two")
     num, den = LEAST
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,7 @@ import time
 import brute
 import numpy as np
 
-from terraspark.llm import shared, substring
+from terraspark.llm import linededup, shared, similar, substring
 
 
 def shuffle_files(spark):
@@ -50,3 +50,17 @@ def test_passages_go_without_their_pieces(spark, monkeypatch):
     assert any("/anchors-" in p for p in gone)
     got = sorted((r.doc_id, r.n_words, r.n_removed, brute.sha(r.text)) for r in out.collect())
     assert got == sorted(brute.substring([tuple(r) for r in docs.collect()]))
+
+
+def _joins(df):
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    return plan.count("SortMergeJoin"), plan.count("BroadcastHashJoin")
+
+
+def test_texts_are_joined_by_one_plan_at_every_size(spark):
+    """A small table isn't joined by a broadcast that a large one has no room for."""
+    docs = documents(spark)
+    assert _joins(linededup.dedup_lines(docs)) == (1, 0)
+    rows = docs.selectExpr("doc_id AS key", "text")
+    pairs = spark.createDataFrame([(0, 3), (1, 2)], "a long, b long")
+    assert _joins(similar._verified(pairs, rows, 5)) == (2, 0)
