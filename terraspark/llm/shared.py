@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..tables import new_path, remove, shared_dir, swept
 
-__all__ = ["LOWER", "UPPER", "checkpointed", "fold", "materialise", "new_path", "plus", "remove", "scratch", "shared_dir", "swept", "with_columns"]
+__all__ = ["LOWER", "UPPER", "fold", "materialise", "new_path", "plus", "remove", "scratch", "shared_dir", "swept", "with_columns"]
 
 #: ASCII upper case and its lower case: the only letters that the contracts fold.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -55,11 +55,3 @@ def fold(doc_id, of: int):
 def plus(df: DataFrame, **types: str) -> T.StructType:
     """df's schema and further columns (DDL types)."""
     return T.StructType([*df.schema.fields, *[T.StructField(k, T._parse_datatype_string(v)) for k, v in types.items()]])
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df as it is partitioned and sorted, written once to the shared folder; a written table would not keep its partitions."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
