@@ -7,7 +7,8 @@ largest response goes into a logistic output. Decision thresholds are calibrated
 
 Up to MAX_ROWS labelled texts are learnt in one task. More are dealt to parts by a hash; word statistics are summed over
 all parts, and in each of ROUNDS rounds every part goes on from the common model through all its texts, after which each
-weight moves by the mean of the parts that moved it. Thresholds come from the numbers of held-back texts by score.
+weight moves by the mean of the parts that moved it. Thresholds come from the numbers of held-back texts by score. What
+parts learn goes from round to round through the shared folder; the driver sees the last model alone.
 
 Defined cases: null and empty texts, and texts without a word, get the score of all-zero features; with labels of one
 class only, every score is the share of positives (0 without labels). Repeated rows are scored each. A label row whose
@@ -17,6 +18,7 @@ parts. Columns that clash with an output's name are replaced.
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -38,13 +40,15 @@ PREFIX = 6
 MAX_ROWS, MAX_BYTES, MAX_TEXT = 6000, 48 << 20, 1 << 18
 #: Rows of a part, as a multiple of MAX_ROWS; parts that more rows have at least, where each gets MAX_ROWS; rounds.
 PART_ROWS, PARTS, ROUNDS = 4, 8, 3
-#: Labels up to which a table of them is broadcast; words that are learnt from at once; numbers in a row of what parts send.
-FEW, WORDS, SENT = 1_000_000, 1 << 16, 1 << 15
+#: Labels up to which a table of them is broadcast; words that are learnt from at once; numbers in a row of what parts send, and tasks that add these up.
+FEW, WORDS, SENT, ADDERS = 1_000_000, 1 << 16, 1 << 15, 16
 #: Scores of held-back texts are told apart by logits this fine.
 FINE = 256
 #: Bytes that are scored at once; a longer text is scored in parts of so many.
 PART = 1 << 18
 EPOCHS, STEPS, GROUP = 10, 500, 32
+#: Numbers of a model without its sums, and a power of two beyond those with them.
+MODEL, BIG = 3 * BUCKETS * WIDTH + sum((k * 3 * WIDTH + 2) * f for k, f in FILTERS.items()) + 1, 1 << 24
 
 
 def sample(documents: DataFrame, labels: DataFrame, max_rows: int, max_bytes: int, max_text: int = MAX_TEXT) -> DataFrame | None:
@@ -104,7 +108,7 @@ class ConvText:
         h = tk.word_hashes(w)
         p = tk.word_hashes(w, PREFIX)
         m = np.uint64(BUCKETS - 1)
-        return np.stack([(h & m), (h >> np.uint64(40)) & m, (p >> np.uint64(20)) & m], 1).astype(np.int32)
+        return np.stack([(h & m), (h >> np.uint64(40)) & m, (p >> np.uint64(20)) & m], 1).astype(np.uint16)
 
     def vectors(self, b: np.ndarray) -> np.ndarray:
         return np.concatenate([t[b[:, i]] for i, t in enumerate(self.tables)], 1)
@@ -166,7 +170,7 @@ class ConvText:
         if self.constant is not None:
             return np.full(docs, self.constant)
         p = np.zeros((docs, len(self.out)), np.float32)
-        behind, none = max(self.kernels) - 1, np.zeros((0, 3), np.int32)
+        behind, none = max(self.kernels) - 1, np.zeros((0, 3), np.uint16)
         tail = none
         for a, b, lo, hi in tk.parts(data, offs, tk.ALNUM, PART):
             if b == a + 1 and hi - lo < offs[b] - offs[a]:
@@ -190,7 +194,7 @@ class ConvText:
 
 def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bucket numbers of all words, and the first word of each document (n + 1); taken by slices, as only these are held of all words."""
-    found, counts = [np.zeros((0, 3), np.int32)], np.zeros(len(offs) - 1, np.int64)
+    found, counts = [np.zeros((0, 3), np.uint16)], np.zeros(len(offs) - 1, np.int64)
     for a, b, lo, hi in tk.parts(data, offs, tk.ALNUM):
         whole = b > a + 1 or hi - lo == offs[b] - offs[a]
         w = tk.words(tk.FOLD[data[lo:hi]], offs[a : b + 1] - lo if whole else np.array([0, hi - lo]), tk.ALNUM)
@@ -300,24 +304,25 @@ def go_on(model: ConvText, acc: dict, b: np.ndarray, first: np.ndarray, rows: np
 
 
 def _flat(model: ConvText, acc: dict) -> np.ndarray:
-    """All numbers of the model and of its sums, one after another."""
+    """All numbers of the model and then of its sums, one after another."""
     parts = [*model.tables, *model.kernels.values(), *model.bias.values(), model.out, [model.shift], *acc["t"], acc["o"], [acc["s"]], *(acc[k] for k in model.kernels)]
     return np.concatenate([np.ravel(x) for x in parts]).astype(np.float32)
 
 
-def _moved(model: ConvText, acc: dict, by: np.ndarray) -> None:
-    """Add to all numbers, in the order of _flat."""
-    at = 0
-    for x in [*model.tables, *model.kernels.values(), *model.bias.values(), model.out, "shift", *acc["t"], acc["o"], "s", *(acc[k] for k in model.kernels)]:
-        if isinstance(x, str):
-            if x == "s":
-                acc["s"] += float(by[at])
-            else:
-                model.shift += float(by[at])
-            at += 1
-        else:
-            x += by[at : at + x.size].reshape(x.shape).astype(np.float32)
-            at += x.size
+def _unflat(v: np.ndarray) -> tuple[ConvText, dict | None]:
+    """What _flat was made of; without the sums where v ends with the model."""
+    inputs, total, at = 3 * WIDTH, sum(FILTERS.values()), 0
+
+    def some(*shape: int) -> np.ndarray:
+        nonlocal at
+        at += math.prod(shape)
+        return v[at - math.prod(shape) : at].reshape(shape).copy()
+
+    model = ConvText([some(BUCKETS, WIDTH) for _ in range(3)], {k: some(k, inputs, f) for k, f in FILTERS.items()}, {k: some(f) for k, f in FILTERS.items()}, some(total), float(some(1)[0]))
+    if at == len(v):
+        return model, None
+    acc = {"t": [some(BUCKETS, 1) for _ in range(3)], "o": some(total), "s": float(some(1)[0])}
+    return model, acc | {k: some(k, inputs, f) for k, f in FILTERS.items()}
 
 
 def platt(score: np.ndarray, y: np.ndarray, n: np.ndarray | float = 1.0) -> tuple[float, float]:
@@ -421,94 +426,120 @@ def _finished(model: ConvText, before: ConvText, score: np.ndarray, y: np.ndarra
 
 
 def _fit_parts(rows: DataFrame, parts: int) -> ConvText:
-    """The model of rows (text, y, rank, lang), learnt from all of them in so many parts."""
-    context = rows.sparkSession.sparkContext
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64("rank"), F.lit(parts)).cast("int")).select("part", "rank", "text", "y", F.col("lang").cast("string").alias("lang"))
+    """The model of rows (text, y, rank, lang), learnt from all of them in so many parts.
 
-    def each(make: Callable[[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-        """What make yields of each part's number, features, labels, what is held back and languages, as a table."""
+    Two models are learnt, of all rows (0) and without those held back (1). Their numbers are a table of rows (k, v) in
+    the shared folder, which every part is dealt with its texts; k is the model's number times BIG and where v begins.
+    """
+    dealt = rows.select(F.pmod(F.xxhash64("rank"), F.lit(parts)).cast("int").alias("part"), F.lit(None).cast("int").alias("k"), "rank", "text", "y", F.col("lang").cast("string").alias("lang"), F.lit(None).cast("binary").alias("v"))
+    up = (F.col("y") > 0.5) & ~F.isnan("y")
+    sizes = []
+    for some in (F.lit(True), F.col("rank") % 5 != 0):
+        sizes += [F.count(F.when(some & up, 1)), F.count(F.when(some, 1))]
+    sizes = [int(x) for x in rows.agg(*sizes).first()]
+    of = [(sizes[0], sizes[1]), (sizes[2], sizes[3])]
+    live = [i for i, (pos, n) in enumerate(of) if 0 < pos < n]
+
+    def each(make: Callable[..., Iterator[pa.RecordBatch]], schema: str, state: DataFrame | None = None) -> DataFrame:
+        """What make yields of each part's number, state by model, features, labels, what is held back and languages, as a table."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            number, ranks, ys, names, found, sizes = 0, [], [], [], [], [np.zeros(1, np.int64)]
+            number, given, ranks, ys, names, found, counts = 0, {}, [], [], [], [np.zeros((0, 3), np.uint16)], [np.zeros(1, np.int64)]
             for batch in batches:
                 if batch.num_rows:
-                    number = batch.column(0)[0].as_py()
-                    b, first = features(*tk.buffers(batch.column(2)))
-                    ranks.append(batch.column(1).to_numpy())
-                    ys.append(batch.column(3).to_numpy())
-                    names += batch.column(4).to_pylist()
+                    number, k = batch.column(0)[0].as_py(), batch.column(1)
+                    ahead = len(k) - k.null_count
+                    for i in range(ahead):
+                        given.setdefault(k[i].as_py() // BIG, []).append(batch.column(6)[i].as_py())
+                    batch = batch.slice(ahead)
+                    b, first = features(*tk.buffers(batch.column(3)))
+                    ranks.append(batch.column(2).to_numpy(zero_copy_only=False))
+                    ys.append(batch.column(4).to_numpy(zero_copy_only=False))
+                    names += batch.column(5).to_pylist()
                     found.append(b)
-                    sizes.append(np.diff(first))
-            if found:
-                yield from make(number, np.concatenate(found), np.cumsum(np.concatenate(sizes)), np.concatenate(ys), np.concatenate(ranks) % 5 == 0, names)
+                    counts.append(np.diff(first))
+            if len(found) > 1:
+                b = np.concatenate(found)
+                found.clear()
+                given = {i: b"".join(v) for i, v in given.items()}
+                yield from make(number, given, b, np.cumsum(np.concatenate(counts)), np.concatenate(ys), np.concatenate(ranks) % 5 == 0, names)
             pa.default_memory_pool().release_unused()
 
-        spread = dealt.repartitionById(parts, F.col("part")).sortWithinPartitions("rank", "text", "y", "lang")
+        all_rows = dealt
+        if state is not None:
+            all_rows = dealt.unionByName(state.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), allowMissingColumns=True).select(dealt.columns)
+        spread = all_rows.repartitionById(parts, F.col("part")).sortWithinPartitions(F.col("k").asc_nulls_last(), "rank", "text", "y", "lang")
         return materialise(spread.mapInArrow(run, schema), "learnt")
 
-    def gathered(learn: Callable[..., np.ndarray], mean: bool) -> np.ndarray:
-        """The sum of what learn makes of the parts, or of each number the mean of the parts where it isn't 0."""
+    def added(learn: Callable[..., tuple[list[np.ndarray], list[np.ndarray]]], state: DataFrame | None = None) -> DataFrame:
+        """The next state: what learn says was before plus the sum of what it makes of the parts, or if there is a before, of each number the mean of the parts where it isn't 0."""
 
-        def make(*part) -> Iterator[pa.RecordBatch]:
-            v = learn(*part)
-            for k in range(0, len(v), SENT):
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part[0]], pa.int32()), pa.array([v[k : k + SENT].astype(np.float32).tobytes()], pa.binary())], names=["k", "part", "v"])
+        def make(number: int, *part) -> Iterator[pa.RecordBatch]:
+            before, out = learn(number, *part)
+            # All parts have begun with the same numbers: one of them passes these on, as part -1.
+            for by, models in ((number, out), (-1, before if number == 0 else [])):
+                for i, x in enumerate(models):
+                    for at in range(0, len(x), SENT):
+                        yield pa.RecordBatch.from_arrays([pa.array([i * BIG + at], pa.int32()), pa.array([by], pa.int32()), pa.array([x[at : at + SENT].astype(np.float32).tobytes()], pa.binary())], names=["k", "part", "v"])
 
         def add(t: pa.Table) -> pa.Table:
+            old, total, times = None, 0, 0
             t = t.sort_by("part")
-            total = times = 0
-            for v in t.column("v"):
+            for by, v in zip(t.column("part").to_pylist(), t.column("v"), strict=True):
                 x = np.frombuffer(v.as_buffer(), np.float32)
-                total, times = total + x.astype(np.float64), times + (x != 0)
-            return pa.table({"k": pa.array([t.column("k")[0].as_py()], pa.int32()), "v": pa.array([(total / np.maximum(1, times) if mean else total).tobytes()], pa.binary())})
+                if by < 0:
+                    old = x
+                else:
+                    total, times = total + x.astype(np.float64), times + (x != 0)
+            new = total if old is None else old + np.asarray(total / np.maximum(1, times), np.float32)
+            return pa.table({"k": pa.array([t.column("k")[0].as_py()], pa.int32()), "v": pa.array([new.tobytes()], pa.binary())})
 
         with scratch(rows.sparkSession):
-            table = each(make, "k int, part int, v binary").groupBy("k").applyInArrow(add, "k int, v binary").toArrow().sort_by("k")
-        return np.concatenate([np.frombuffer(v.as_buffer(), np.float64) for v in table.column("v")])
+            learnt = each(make, "k int, part int, v binary", state)
+            return materialise(learnt.repartition(ADDERS, "k").groupBy("k").applyInArrow(add, "k int, v binary"), "state", keep=True)
 
-    def count(_, b, first, y, held, names) -> np.ndarray:
-        every = np.arange(len(y))
-        out = []
-        for take in (every, every[~held]):
-            out += [counted(b, first, take, y[take]).ravel(), [(y[take] > 0.5).sum(), len(take)]]
-        return np.concatenate(out)
-
-    models = []
-    for seen in np.split(gathered(count, False), 2):
-        models.append(begun(seen[:-2].reshape(3, 2, BUCKETS), int(seen[-2]), int(seen[-1])))
-    sums = [None if m.constant is not None else fresh(m) for m in models]
-    for turn in range(ROUNDS):
-        live = [i for i in (0, 1) if sums[i] is not None]
-        if not live:
-            break
-        shared = context.broadcast((models, sums))
+    def count(_, given, b, first, y, held, names) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        return [], [counted(b, first, take, y[take]).ravel() for take in [np.flatnonzero(~held) if i else np.arange(len(y)) for i in live]]
+
+    state = added(count) if live else None
+    for turn in range(ROUNDS if live else 0):
 
-        def learn(number, b, first, y, held, names) -> np.ndarray:
-            out, every = [], np.arange(len(y))
+        def learn(number, given, b, first, y, held, names, turn=turn) -> tuple[list[np.ndarray], list[np.ndarray]]:
+            before, out = [], []
             for i in live:
-                model, acc = pickle.loads(pickle.dumps((shared.value[0][i], shared.value[1][i])))
-                old, take = _flat(model, acc), every[~held] if i else every
+                if turn:
+                    model, acc = _unflat(np.frombuffer(given.pop(i), np.float32))
+                else:
+                    model = begun(np.frombuffer(given.pop(i), np.float64).reshape(3, 2, BUCKETS), *of[i])
+                    acc = fresh(model)
+                before.append(_flat(model, acc))
+                take = np.flatnonzero(~held) if i else np.arange(len(y))
                 if len(take):
                     go_on(model, acc, b, first, take, y[take], RATE * (1 - turn / (ROUNDS + 1)), np.random.default_rng([turn, number]))
-                out.append(_flat(model, acc) - old)
-            return np.concatenate(out)
+                out.append(_flat(model, acc) - before[-1])
+            return before, out
 
-        for i, by in zip(live, np.split(gathered(learn, True), len(live)), strict=True):
-            _moved(models[i], sums[i], by)
-        shared.unpersist()
-    model, before = models
-    judge = context.broadcast(before)
+        state = added(learn, state)
+    judging = 1 in live
 
-    def held_back(number, b, first, y, held, names) -> Iterator[pa.RecordBatch]:
+    def held_back(_, given, b, first, y, held, names) -> Iterator[pa.RecordBatch]:
         at = np.flatnonzero(held)
-        s = np.clip(_judged(judge.value, b, first, at), 1e-13, 1 - 1e-13)
+        before = _unflat(np.frombuffer(given.pop(1), np.float32))[0] if judging else begun(np.zeros(0), *of[1])
+        s = np.clip(_judged(before, b, first, at), 1e-13, 1 - 1e-13)
         step = np.round(np.log(s / (1 - s)) * FINE).astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in at.tolist()], pa.string()), pa.array(step), pa.array(y[at].astype(np.float64))], names=["lang", "step", "y"])
 
-    told = each(held_back, "lang string, step int, y double").groupBy("lang", "step").agg(F.sum("y").alias("y"), F.count("y").cast("double").alias("n")).orderBy("step", "lang").toArrow()
+    told = each(held_back, "lang string, step int, y double", state.where(F.col("k") >= BIG) if judging else None)
+    told = told.groupBy("lang", "step").agg(F.sum("y").alias("y"), F.count("y").cast("double").alias("n")).orderBy("step", "lang").toArrow()
+    if live:
+        last = state.where(F.col("k") < MODEL).toArrow().sort_by("k")
+        model = _unflat(np.frombuffer(b"".join(v.as_buffer() for v in last.column("v")), np.float32)[:MODEL])[0]
+    else:
+        model = begun(np.zeros(0), *of[0])
     if not len(told):
         model.thresholds = {"": 0.5}
         return model
+    before = ConvText() if judging else begun(np.zeros(0), *of[1])
     score = 1 / (1 + np.exp(-told.column("step").to_numpy() / FINE))
     return _finished(model, before, score, told.column("y").to_numpy(), told.column("lang").to_pylist(), told.column("n").to_numpy())
 

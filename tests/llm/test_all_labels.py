@@ -1,6 +1,8 @@
 """Toxicity learns from every labelled text, however many and however long they are."""
 
+import pickle
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -61,3 +63,31 @@ def test_calibration_by_numbers_of_rows():
     assert set(best) == {"", "en"} and best[""] == best["en"]
     f1 = [2 * y[score >= t].sum() / ((score >= t).sum() + y.sum()) for t in at]
     assert 2 * y[score >= best[""]].sum() / ((score >= best[""]).sum() + y.sum()) >= max(f1) - 1e-12
+
+
+def test_only_the_last_model_comes_to_the_driver(spark, monkeypatch):
+    """What parts learn is added up elsewhere: the driver holds a model or two at a time, and gets one."""
+    rng, size, got = random.Random(8), 3 * toxicity.BUCKETS * toxicity.WIDTH * 4, []
+    rows = [(i, " ".join(f"w{rng.randrange(300)}" for _ in range(30)) + (" bad" if i % 3 == 0 else ""), "en") for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int")
+    arrow, broadcast = type(docs).toArrow, spark.sparkContext.broadcast
+    monkeypatch.setattr(type(docs), "toArrow", lambda self: got.append(arrow(self)) or got[-1])
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: got.append(pa.py_buffer(pickle.dumps(value))) or broadcast(value))
+    tracemalloc.start()
+    model = toxicity.fit(docs, labels, F.lit(True), max_rows=20)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    score = model.scores(*tk.buffers(pa.array([t for _, t, _ in rows], pa.string())))
+    assert score[::3].min() > max(score[1::3].max(), score[2::3].max())
+    assert sum(x.nbytes if isinstance(x, pa.Table) else x.size for x in got) < 1.2 * size
+    assert most < 4 * size
+
+
+def test_model_of_its_numbers():
+    model = toxicity.train(["bad one", "good two", "bad three", "good four"], np.array([1, 0, 1, 0], np.float32))
+    sums = toxicity.fresh(model)
+    v = toxicity._flat(model, sums)
+    again, acc = toxicity._unflat(v)
+    assert np.array_equal(toxicity._flat(again, acc), v) and toxicity._unflat(v[: toxicity.MODEL])[1] is None
+    assert len(v) < toxicity.BIG
