@@ -7,6 +7,11 @@ Candidates are exact (prefix filter): all shingles have one order, and two sets
 the first n - LEAST * n + 1 of each. The order puts shingles that a sample of documents repeats last, so entries stay
 small; what it is decides cost alone. Candidates are verified on their whole sets. Shingles are compared by 64-bit hash.
 
+Candidates that share a shingle by chance grow with the square of the documents, so their texts are not joined: each
+document has a signature, one bit for a shingle or two, and two sets differ in at least as many shingles as their
+signatures differ in bits. Only pairs that may be similar by that get their texts, in passes of as many pairs as a part
+of the documents, whose shuffle files go with each pass.
+
 A dense group is not compared pair by pair (connections): first each document is verified against its neighbour in every
 entry, which links a group whose members are alike with as many comparisons as it has entries. Only documents that are
 not connected then are compared with each other. Entries of over CROWD documents are cut into blocks, and every two
@@ -39,6 +44,8 @@ SAMPLE, REPEATED = 16_384, 500_000
 FEW = 1_000_000
 #: Documents of an entry that are compared in one task; entries up to SMALL are compared by vector operations over all of them.
 CROWD, SMALL = 4096, 32
+#: Bits of the smallest signature. Passes in which as many pairs as there are rows get their texts.
+LEAST_BITS, PASSES_A_ROW = 512, 4
 
 
 def shingles(data: np.ndarray, offs: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -228,9 +235,74 @@ def _candidates(rooted: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_paired, "a long, b long").groupBy("a", "b").agg(F.lit(1)).select("a", "b")
 
 
+def _signatures(rows: DataFrame, shingle: int) -> DataFrame:
+    """(key, n, bits) of rows (key, text): the size of the set, and a bit for each of at least n places (a power of two), set where an odd number of its shingles fall."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for keys, doc, got in _sets(batch, shingle):
+                n = np.bincount(doc, minlength=len(keys))
+                places = np.maximum(LEAST_BITS, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+                first = np.cumsum(places) - places
+                at = first[doc] + (got & (places[doc] - 1).astype(np.uint64)).astype(np.int64)
+                bits = np.packbits((np.bincount(at, minlength=int(places.sum())) & 1).astype(np.uint8), bitorder="little").tobytes()
+                held = [bits[i : i + k] for i, k in zip((first // 8).tolist(), (places // 8).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int32)), pa.array(held, pa.binary())], names=["key", "n", "bits"])
+
+    return rows.mapInArrow(run, "key long, n int, bits binary")
+
+
+def _may_be_similar(n: np.ndarray, left: pa.Array, m: np.ndarray, right: pa.Array) -> np.ndarray:
+    """By sizes and signatures; false only where the sets can't be similar enough."""
+    num, den = LEAST
+    n, m = n.astype(np.int64), m.astype(np.int64)
+    sides = [tk.buffers(x) for x in (left, right)]
+    long = [np.diff(offs) for _, offs in sides]
+    apart = np.zeros(len(n), np.int64)
+    for one, two in set(zip(long[0].tolist(), long[1].tolist(), strict=True)):
+        for at in np.array_split(i := np.flatnonzero((long[0] == one) & (long[1] == two)), -(-len(i) * max(one, two) // (1 << 24))):
+            bits = []
+            for (data, offs), size in zip(sides, (one, two), strict=True):
+                rows = data[offs[at][:, None] + np.arange(size)]
+                while size > min(one, two):  # to the signature that fewer places would have given
+                    size //= 2
+                    rows = rows[:, :size] ^ rows[:, size:]
+                bits.append(rows)
+            apart[at] = np.bitwise_count(bits[0] ^ bits[1]).sum(1)
+    return (den * np.minimum(n, m) >= num * np.maximum(n, m)) & ((num + den) * apart <= (den - num) * (n + m))
+
+
+def _possible(pairs: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
+    """Those of the pairs (a, b) that may be similar by their signatures: all that are, and few others."""
+    keys = materialise(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "similar-keys")
+    held = materialise(_signatures(rows.join(_side(keys), "key", "left_semi").dropDuplicates(["key"]), shingle), "similar-signatures")
+    both = pairs
+    for side in ("a", "b"):
+        both = both.join(held.select(F.col("key").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}")).hint("merge"), side)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n, left, m, right = batch.columns
+            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(_may_be_similar(n.to_numpy(), left, m.to_numpy(), right)))
+
+    return both.select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
     """Those of the pairs (a, b) that are similar enough, by their whole texts in rows (key, text)."""
-    pairs = materialise(pairs, "similar-candidates")
+    with scratch(rows.sparkSession):
+        pairs = materialise(_possible(materialise(pairs, "similar-candidates"), rows, shingle), "similar-possible", keep=True)
+    passes = max(1, -(-pairs.count() * PASSES_A_ROW // max(1, rows.count())))
+    found = None
+    for k in range(passes):
+        with scratch(rows.sparkSession):
+            part = pairs.where(F.pmod(F.xxhash64("a"), F.lit(passes)) == k)
+            got = materialise(_compared(part, rows, shingle), "similar-verified", keep=True)
+        found = got if found is None else found.unionByName(got)
+    return found
+
+
+def _compared(pairs: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
     keys = materialise(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "similar-keys")
     texts = materialise(rows.join(_side(keys), "key", "left_semi").dropDuplicates(["key"]), "similar-texts")
     # Merge joins at every size, so that what a small table costs tells what a large one will.

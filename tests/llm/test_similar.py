@@ -109,3 +109,38 @@ def test_only_what_is_read_later_stays(spark, monkeypatch):
     assert sorted(r.doc_id for r in out.collect()) == [1, 3]
     left = {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in set(made) - set(gone)}
     assert left == {"similar-documents", "similar-gone"} and len(gone) > 5
+
+
+def test_texts_that_share_a_shingle_by_chance_are_not_joined(spark, monkeypatch):
+    """Such pairs grow with the square of the documents; only pairs that may be similar get their texts."""
+    rng = random.Random(9)
+    rows = [(i, " ".join([f"w{rng.randrange(3000)}" for _ in range(40)] + [f"p{i % 3}{k}" for k in range(12)])) for i in range(60)]
+    rows += [(100 + i, rows[i][1] + " more") for i in range(5)]
+    texts, real = [], similar.materialise
+
+    def spy(df, name, **kw):
+        out = real(df, name, **kw)
+        if name == "similar-texts":
+            texts.append(out.count())
+        return out
+
+    monkeypatch.setattr(similar, "materialise", spy)
+    monkeypatch.setattr(similar, "REPEATED", 1)  # as of more documents, whose sample knows few of the repeated shingles
+    df = spark.createDataFrame(rows, "key long, text string").repartition(4)
+    assert {tuple(r) for r in similar.links(df).collect()} == {(min(p), max(p)) for p in alike(rows)}
+    assert sum(texts) == 10
+
+
+def test_signatures_never_tell_similar_texts_apart(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(10)
+    rows = [(k, " ".join(w)) for k, w in enumerate(ws for n in (3, 60, 500, 520, 1000, 1040, 3000) for base in [[f"w{rng.randrange(9000)}" for _ in range(n)]] for ws in (base, base[: n - n // 12], [*base, *[f"x{i}" for i in range(n // 8)]]))]
+    made = similar._signatures(spark.createDataFrame(rows, "key long, text string"), 5).orderBy("key").collect()
+    i, j = np.triu_indices(len(made), 1)
+    n, bits = np.array([r.n for r in made]), [r.bits for r in made]
+    got = similar._may_be_similar(n[i], pa.array([bits[k] for k in i], pa.binary()), n[j], pa.array([bits[k] for k in j], pa.binary()))
+    found = {(a, b) for a, b, g in zip(i.tolist(), j.tolist(), got.tolist(), strict=True) if g}
+    want = {(min(p), max(p)) for p in alike(rows)}
+    assert want and want <= found and len(found) < 2 * len(want)
