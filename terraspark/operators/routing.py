@@ -1,8 +1,8 @@
 """Shortest paths, matrices and routes on a road graph.
 
 A graph that fits a checked size is broadcast as adjacency arrays, and requests are answered by a search from each
-distinct origin; origins are dealt out over the cluster. A larger graph goes by relax(), rounds of joins in which all
-origins advance together, each written to the shared folder.
+distinct origin; origins are dealt out over the cluster. A larger graph is searched in blocks of nodes of near ids
+(operators.blocks). relax() finds the ways from some origins to all nodes by rounds of joins, an edge a round.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..tables import new_path, remove
+from . import blocks
 
 #: Edges of a graph that is broadcast: five numbers of 8 bytes each, 80 MB on the driver and in each Python worker.
 MOST_EDGES = 2_000_000
@@ -44,28 +45,46 @@ class Graph:
         i = int(np.searchsorted(self.ids, node))
         return i if i < len(self.ids) and self.ids[i] == node else None
 
-    def search(self, origin: int, wanted: set[int]) -> dict[int, tuple[int, int, list[int]]]:
-        """From a node's number to those wanted: weight, and the edges of the way there. Ends when all are found. Of ways of equal weight the one with the lower node before the end stays, then before that one, and so on."""
-        best, before, done, found = {origin: 0}, {}, set(), {}
-        queue = [(0, origin)]
-        while queue and len(found) < len(wanted):
-            cost, node = heapq.heappop(queue)
+    def search(self, origin: int) -> Search:
+        return Search(self, origin)
+
+
+class Search:
+    """From a node's number, as far as it is asked for. Of ways of equal weight the one with the lower node before the end stays, then before that one, and so on."""
+
+    def __init__(self, graph: Graph, origin: int) -> None:
+        self.graph, self.origin = graph, origin
+        self.best, self.before, self.sums = {origin: 0}, {}, {}
+        self.queue = [(0, origin)]
+
+    def find(self, wanted: set[int]) -> None:
+        """Goes on until all of them are settled or nothing is left."""
+        g, best, before, done = self.graph, self.best, self.before, self.sums
+        left = len(wanted - done.keys())
+        while self.queue and left:
+            cost, node = heapq.heappop(self.queue)
             if node in done:
                 continue
-            done.add(node)
-            if node in wanted:
-                path, at = [], node
-                while at != origin:
-                    at, edge = before[at]
-                    path.append(edge)
-                found[node] = (cost, path[::-1])
-            for edge in range(self.first[node], self.first[node + 1]):
-                there, total = int(self.target[edge]), cost + int(self.weight[edge])
+            if node == self.origin:
+                done[node] = (0, 0)
+            else:
+                at, edge = before[node]
+                done[node] = (done[at][0] + int(g.distance[edge]), done[at][1] + int(g.time[edge]))
+            left -= node in wanted
+            for edge in range(g.first[node], g.first[node + 1]):
+                there, total = int(g.target[edge]), cost + int(g.weight[edge])
                 had = best.get(there, total + 1)
                 if there not in done and (total < had or (total == had and node < before[there][0])):
                     best[there], before[there] = total, (node, edge)
-                    heapq.heappush(queue, (total, there))
-        return found
+                    heapq.heappush(self.queue, (total, there))
+
+    def path(self, node: int) -> list[int]:
+        """Nodes (ids) on the way to one that is settled."""
+        out = [node]
+        while node != self.origin:
+            node = self.before[node][0]
+            out.append(node)
+        return self.graph.ids[out[::-1]].tolist()
 
 
 def weighted(edges: DataFrame) -> DataFrame:
@@ -73,14 +92,16 @@ def weighted(edges: DataFrame) -> DataFrame:
     return edges.where("weight_ds IS NOT NULL AND penalty < double('Infinity')").select("src", "dst", F.floor(F.col("weight_ds") * F.col("penalty")).cast("long").alias("cost"), "distance_m", F.col("weight_ds").alias("time_ds"))
 
 
-def shortest_paths(requests: DataFrame, edges: DataFrame) -> DataFrame:
+def shortest_paths(requests: DataFrame, edges: DataFrame, paths: bool = True) -> DataFrame:
     """(request, src, dst, distance_m, time_ds, path) for requests (request, src, dst) on weighted edges.
 
-    path are the nodes on the way. Distance and time are without penalties. A request from a node to itself has zeros;
-    one that can't be met has nulls. Edges beyond MOST_EDGES aren't broadcast: relax() finds the paths then.
+    path are the nodes on the way; without paths they are null, and nothing grows with the ways' lengths. Distance and
+    time are without penalties. A request from a node to itself has zeros; one that can't be met has nulls. Edges beyond
+    MOST_EDGES aren't broadcast: they are searched in blocks.
     """
-    if edges.count() > MOST_EDGES:
-        return _relaxed_paths(requests, edges)
+    n = edges.count()
+    if n > MOST_EDGES:
+        return _by_blocks(requests, edges, paths, -(-n // min(MOST_EDGES, blocks.EDGES)))
     columns = ("src", "dst", "cost", "distance_m", "time_ds")
     t = edges.select(*columns).toArrow()
     graph = Graph.of(*(t[c].to_numpy() for c in columns))
@@ -89,18 +110,21 @@ def shortest_paths(requests: DataFrame, edges: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         g = shared.value
+        at = search = None  # an origin's requests may come in several batches
         for batch in batches:
             rows = []
             for src, group in batch.groupby("src", dropna=False):
                 here = None if pd.isna(src) else g.number(int(src))
+                if here is not None and here != at:
+                    at, search = here, g.search(here)
                 ends = {int(x): g.number(int(x)) for x in group["dst"].dropna()}
-                found = g.search(here, {v for v in ends.values() if v is not None}) if here is not None else {}
+                if here is not None:
+                    search.find({v for v in ends.values() if v is not None})
                 for request, dst in zip(group["request"], group["dst"], strict=True):
                     if not pd.isna(dst) and not pd.isna(src) and int(src) == int(dst):
-                        rows.append((request, src, dst, 0, 0, [int(src)]))
-                    elif not pd.isna(dst) and (hit := found.get(ends[int(dst)])) is not None:
-                        path = hit[1]
-                        rows.append((request, src, dst, int(g.distance[path].sum()), int(g.time[path].sum()), [int(src), *g.ids[g.target[path]].tolist()]))
+                        rows.append((request, src, dst, 0, 0, [int(src)] if paths else None))
+                    elif not pd.isna(dst) and here is not None and (hit := search.sums.get(ends[int(dst)])) is not None:
+                        rows.append((request, src, dst, *hit, search.path(ends[int(dst)]) if paths else None))
                     else:
                         rows.append((request, src, dst, None, None, None))
             yield pd.DataFrame(rows, columns=["request", "src", "dst", "distance_m", "time_ds", "path"]).astype({"src": "Int64", "dst": "Int64", "distance_m": "Int64", "time_ds": "Int64"})
@@ -149,17 +173,15 @@ def relax(origins: DataFrame, edges: DataFrame, most_rounds: int = 10_000) -> Da
     return read(known)
 
 
-def _relaxed_paths(requests: DataFrame, edges: DataFrame) -> DataFrame:
-    """shortest_paths() by relax(); lengths are those of the least costly edge between two nodes."""
+def _by_blocks(requests: DataFrame, edges: DataFrame, paths: bool, count: int) -> DataFrame:
+    """shortest_paths() on a graph in so many blocks; lengths are those of the least costly edge between two nodes."""
     asked = requests.select("request", F.col("src").cast("long"), F.col("dst").cast("long"))
-    found = relax(asked.select(F.col("src").alias("origin")).where("origin IS NOT NULL").distinct(), edges)
-    hit = asked.join(found.select(F.col("origin").alias("src"), F.col("node").alias("dst"), "path"), ["src", "dst"], "left")
-    pairs = F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.struct(F.get("path", i - 1).alias("a"), F.get("path", i).alias("b")))
-    legs = hit.where("size(path) > 1").select("request", F.explode(pairs).alias("leg")).select("request", F.col("leg.a").alias("src"), F.col("leg.b").alias("dst"))
-    one = edges.groupBy("src", "dst").agg(F.min_by(F.struct("distance_m", "time_ds"), F.struct("cost", "distance_m")).alias("e"))
-    sums = legs.join(one, ["src", "dst"]).groupBy("request").agg(F.sum("e.distance_m").alias("distance_m"), F.sum("e.time_ds").alias("time_ds"))
-    zero = F.when(F.size("path") == 1, F.lit(0).cast("long"))
-    return hit.join(sums, "request", "left").select("request", "src", "dst", F.coalesce("distance_m", zero).alias("distance_m"), F.coalesce("time_ds", zero).alias("time_ds"), "path")
+    ways = asked.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").distinct()
+    found = blocks.search(ways, edges.select("src", "dst", "cost", "distance_m", "time_ds"), count, paths)
+    same = F.col("src") == F.col("dst")
+    zero = F.when(same, F.lit(0).cast("long"))
+    own = F.when(same, F.array("src")) if paths else F.lit(None).cast("array<long>")
+    return asked.join(found, ["src", "dst"], "left").select("request", "src", "dst", F.coalesce("distance_m", zero).alias("distance_m"), F.coalesce("time_ds", zero).alias("time_ds"), F.coalesce("path", own).alias("path"))
 
 
 def matrix(origins: DataFrame, destinations: DataFrame, edges: DataFrame) -> DataFrame:
@@ -169,7 +191,7 @@ def matrix(origins: DataFrame, destinations: DataFrame, edges: DataFrame) -> Dat
     asked = pairs.select(F.struct("origin", "destination").alias("request"), "src", "dst")
     keyed = asked.withColumn("request", F.to_json("request"))
     kinds = asked.schema["request"].dataType.simpleString()
-    out = shortest_paths(keyed, edges)
+    out = shortest_paths(keyed, edges, paths=False)
     return out.select(F.from_json("request", kinds).alias("r"), "distance_m", F.floor(F.col("time_ds") / 10).cast("long").alias("duration_s")).select("r.origin", "r.destination", "distance_m", "duration_s")
 
 

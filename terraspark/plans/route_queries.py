@@ -136,7 +136,7 @@ def shortest_times(spark, d):
     e = edges(spark, d).withColumn("weight_ds", road.weight_ds("motorcycle", "distance_m", "road_class", "surface")).withColumn("penalty", F.lit(1.0))
     n = nodes(spark, d).where("node_id <> 0")
     asked = n.select(F.col("node_id").alias("request"), F.lit(0).cast("long").alias("src"), F.col("node_id").alias("dst"))
-    return routing.shortest_paths(asked, routing.weighted(e)).where("time_ds IS NOT NULL").select("dst", "time_ds")
+    return routing.shortest_paths(asked, routing.weighted(e), paths=False).where("time_ds IS NOT NULL").select("dst", "time_ds")
 
 
 def _trips(spark, d):

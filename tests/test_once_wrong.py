@@ -49,3 +49,21 @@ def test_open_places_of_nothing(spark, tmp_path):
     for where in ("missing", "empty"):
         out = stores.read_open_places(spark, str(tmp_path / where))
         assert out.count() == 0 and out.columns[0] == "place_id"
+
+
+def test_long_ways_on_graphs_that_are_not_broadcast(spark, monkeypatch):
+    """Two rows of 200 nodes in few blocks: a round for each edge of a way, as relax() has them, would be 200."""
+    rows = [(i, i + 1, 3 + i % 5, 10) for i in range(399) if i != 199] + [(i, i + 200, 1 + i % 3, 7) for i in range(200)] + [(i + 200, i, 1 + i % 2, 9) for i in range(0, 200, 3)]
+    edges = spark.createDataFrame([(*r, r[2]) for r in rows], "src long, dst long, cost long, distance_m long, time_ds long").cache()
+    asked = spark.createDataFrame([(1, 0, 199), (2, 0, 399), (3, 150, 20), (4, 7, 7), (5, 0, 999), (6, 30, 390)], "request long, src long, dst long")
+    pick = lambda **kw: sorted((r.request, r.distance_m, r.time_ds, tuple(r.path or ())) for r in routing.shortest_paths(asked, edges, **kw).collect())
+    small = pick()
+    assert [r[1] is None for r in small] == [False, False, True, False, True, False]
+
+    def never(*_, **__):
+        raise AssertionError("a round for each edge")
+
+    monkeypatch.setattr(routing, "relax", never)
+    monkeypatch.setattr(routing, "MOST_EDGES", 250)
+    assert pick() == small
+    assert pick(paths=False) == [(*r[:3], ()) for r in small]
