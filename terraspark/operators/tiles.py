@@ -1,6 +1,7 @@
 """Vector tiles of map features.
 
-A feature lies in the one tile of its first vertex, at every zoom, unclipped. Tiles are encoded a partition at a time.
+A feature lies in the one tile of its first vertex, at every zoom, unclipped. Tiles are encoded a partition at a time,
+feature by feature: what a task holds is the tile's bytes and its keys and values.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,7 +81,12 @@ def tolerance(zoom: int) -> float:
     return next((d for most, d in TOLERANCES if zoom <= most), TOLERANCES[-1][1])
 
 
+_SHORT = [bytes([n]) for n in range(128)]
+
+
 def varint(n: int) -> bytes:
+    if 0 <= n < 128:
+        return _SHORT[n]
     out = bytearray()
     while n > 127:
         out.append(n & 127 | 128)
@@ -131,26 +137,54 @@ def local(lat: float, lon: float, z: int, x: int, y: int) -> tuple[int, int]:
     return tuple(int(math.copysign(math.floor(abs(v) + 0.5), v)) for v in (px, py))
 
 
-def encode(features: list[dict], z: int, x: int, y: int) -> bytes:
-    """A tile of one layer of features (id, kind, points [(lat, lon)], properties); keys and values are numbered as they come up. Empty where no feature has a geometry."""
-    keys: dict[str, int] = {}
-    values: dict[str, int] = {}
-    body = b""
-    for f in features:
-        points = f["points"]
-        if f["kind"] != POINT and len(points) > 2:
-            a = np.array(points, float)
-            keep = simplified(a, tolerance(z))
+class Tile:
+    """A tile of one layer that features are added to; keys and values are numbered as they come up."""
+
+    def __init__(self, z: int, x: int, y: int) -> None:
+        self.at, self.keys, self.values, self.body, self.features = (z, x, y), {}, {}, bytearray(), 0
+
+    def add(self, id_: int, kind: int, points: list[tuple[float, float]], properties: list[tuple[str, str]]) -> None:
+        z, x, y = self.at
+        if kind != POINT and len(points) > 2:
+            keep = simplified(np.array(points, float), tolerance(z))
             points = [p for p, k in zip(points, keep, strict=True) if k] if keep.sum() >= 2 else points
-        stream = commands(f["kind"], [local(lat, lon, z, x, y) for lat, lon in points])
+        self.features += 1
+        if kind == POINT and len(points) == 1:
+            px, py = local(*points[0], z, x, y)
+            stream = b"\x09" + varint(zigzag(px)) + varint(zigzag(py))
+        else:
+            stream = b"".join(map(varint, commands(kind, [local(lat, lon, z, x, y) for lat, lon in points])))
         if not stream:
-            continue
-        tags = [n for k, v in f["properties"] for n in (keys.setdefault(k, len(keys)), values.setdefault(v, len(values)))]
-        body += _field(2, _number(1, f["id"]) + (_field(2, b"".join(map(varint, tags))) if tags else b"") + _number(3, f["kind"]) + _field(4, b"".join(map(varint, stream))))
-    if not body:
-        return b""
-    layer = _field(1, LAYER.encode()) + body + b"".join(_field(3, k.encode()) for k in keys) + b"".join(_field(4, _field(1, v.encode())) for v in values) + _number(5, EXTENT) + _number(15, 2)
-    return _field(3, layer)
+            return
+        keys, values, tags = self.keys, self.values, b""
+        for k, v in properties:
+            tags += varint(keys.setdefault(k, len(keys))) + varint(values.setdefault(v, len(values)))
+        if tags:
+            tags = b"\x12" + varint(len(tags)) + tags
+        row = b"\x08" + varint(id_) + tags + b"\x18" + varint(kind) + b"\x22" + varint(len(stream)) + stream
+        self.body += b"\x12" + varint(len(row)) + row
+
+    def data(self) -> bytes:
+        """Empty where no feature has a geometry. Nothing can be added afterwards."""
+        if not self.body:
+            return b""
+        layer = bytearray(_field(1, LAYER.encode()))
+        layer += self.body
+        self.body = bytearray()
+        for k in self.keys:
+            layer += _field(3, k.encode())
+        for v in self.values:
+            layer += _field(4, _field(1, v.encode()))
+        layer += _number(5, EXTENT) + _number(15, 2)
+        return b"".join((varint(3 << 3 | 2), varint(len(layer)), layer))
+
+
+def encode(features: list[dict], z: int, x: int, y: int) -> bytes:
+    """A tile of features (id, kind, points [(lat, lon)], properties)."""
+    tile = Tile(z, x, y)
+    for f in features:
+        tile.add(f["id"], f["kind"], f["points"], f["properties"])
+    return tile.data()
 
 
 def assigned(features: DataFrame, min_zoom: int = 0, max_zoom: int = 14) -> DataFrame:
@@ -166,25 +200,42 @@ def tiles(features: DataFrame, min_zoom: int = 0, max_zoom: int = 14) -> DataFra
     order = ["z", "x", "y"]
     dealt = assigned(features, min_zoom, max_zoom).withColumn("props", F.array_sort(F.map_entries("properties"))).select(*order, "id", "kind", "points", "props").repartition(*order).sortWithinPartitions(*order, "id")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, held = None, []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile: Tile | None = None
+        made: list[tuple] = []
+
+        def finish() -> None:
+            if tile and (data := tile.data()):
+                made.append((*tile.at, hilbert(*tile.at), data, tile.features))
+
+        def out() -> pa.RecordBatch:
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
+            batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in made], k) for i, k in enumerate(kinds)], names=["z", "x", "y", "tile_id", "data", "features"])
+            made.clear()
+            return batch
 
-        def finish() -> list[tuple]:
-            data = encode(held, *at) if held else b""
-            return [(*at, hilbert(*at), data, len(held))] if data else []
+        def lists(column: pa.Array, *fields: str) -> tuple[list[int], list[tuple]]:
+            """Where each row's pairs begin (and the last end), and all pairs."""
+            ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy()).tolist()
+            pairs = column.flatten()
+            columns = pairs.flatten()
+            return [0, *ends], list(zip(*(columns[pairs.type.get_field_index(f)].to_pylist() for f in fields), strict=True))
 
         for batch in batches:
-            rows = []
-            for z, x, y, i, kind, points, props in batch.itertuples(index=False):
-                if (z, x, y) != at:
-                    rows += finish()
-                    at, held = (z, x, y), []
-                held.append({"id": i, "kind": kind, "points": [(p["lat"], p["lon"]) for p in points], "properties": [(p["key"], p["value"]) for p in props]})
-            yield pd.DataFrame(rows, columns=["z", "x", "y", "tile_id", "data", "features"])
-        if rows := finish() if at else []:
-            yield pd.DataFrame(rows, columns=["z", "x", "y", "tile_id", "data", "features"])
-
-    return dealt.mapInPandas(run, "z int, x long, y long, tile_id long, data binary, features long")
+            z, x, y, ids, kinds = (batch.column(c).to_pylist() for c in range(5))
+            (first, points), (begin, props) = lists(batch.column(5), "lat", "lon"), lists(batch.column(6), "key", "value")
+            for i, at in enumerate(zip(z, x, y, strict=True)):
+                if tile is None or at != tile.at:
+                    finish()
+                    tile = Tile(*at)
+                tile.add(ids[i], kinds[i], points[first[i] : first[i + 1]], props[begin[i] : begin[i + 1]])
+            if made:
+                yield out()
+        finish()
+        if made:
+            yield out()
+
+    return dealt.mapInArrow(run, "z int, x long, y long, tile_id long, data binary, features long")
 
 
 def hilbert(z: int, x: int, y: int) -> int:

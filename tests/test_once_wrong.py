@@ -67,3 +67,31 @@ def test_long_ways_on_graphs_that_are_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(routing, "MOST_EDGES", 250)
     assert pick() == small
     assert pick(paths=False) == [(*r[:3], ()) for r in small]
+
+
+def test_tiles_of_many_features_take_time_in_proportion():
+    """Bytes appended to bytes are copied each time: the time grew with the square of a tile's features."""
+    import hashlib
+    import time
+
+    from terraspark.operators import tiles
+
+    def spent(n):
+        features = [{"id": i, "kind": tiles.POINT, "points": [(5 + i % 100 / 50, i % 70 / 50)], "properties": [("name", f"{'place' * 20} {i}"), ("amenity", "bar")]} for i in range(n)]
+        began = time.process_time()
+        data = tiles.encode(features, 0, 0, 0)
+        return time.process_time() - began, data
+
+    few, small = spent(5_000)
+    assert hashlib.md5(small).hexdigest() == "c0b080fe2246ba2ab42a1fcecba30dd7"
+    many, _ = spent(80_000)
+    assert many < 40 * few
+
+
+def test_fuzzy_union_broadcasts_no_places(spark, tmp_path):
+    """Files of like names are small, and what they hold isn't: it filled the driver."""
+    from terraspark.operators import ingest
+
+    spark.sql("SELECT id AS seq, 5.0 + id * 0.0002D AS lat, 0.0D AS lon, array(named_struct('lang', 'en', 'name', concat('Place ', id))) AS names FROM range(200)").write.parquet(str(tmp_path / "p"))
+    plan = ingest.candidates(spark.read.parquet(str(tmp_path / "p")))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
