@@ -95,7 +95,7 @@ def candidates(places: DataFrame) -> DataFrame:
     one pair of names.
     """
     rows = places.select("seq", "lat", "lon", "names")
-    pairs = range_join(rows, rows.withColumnsRenamed({"seq": "b", "names": "other"}), 2 * NEAR_M, boxed=False).where(F.col("seq") < F.col("b"))
+    pairs = range_join(rows, rows.withColumnsRenamed({"seq": "b", "names": "other"}), 2 * NEAR_M, boxed=False, merge=True).where(F.col("seq") < F.col("b"))
     close = F.exists("names", lambda x: F.exists("other", lambda y: text.levenshtein_similarity(x["name"], y["name"]) > SIMILAR))
     return pairs.where(close).select(F.col("seq").alias("a"), "b")
 
@@ -158,7 +158,8 @@ def union_places(first: DataFrame, second: DataFrame, order: str = "place_id") -
     rows = materialise(ranged.withColumn("seq", F.monotonically_increasing_id()), "places")
     links = materialise(candidates(rows), "place-links")
     groups = components(links).withColumnsRenamed({"node": "seq", "root": "group"})
-    marked = rows.join(groups, "seq", "left")
+    # Sorted numbers and like names take little room in files, by which Spark would choose to broadcast them.
+    marked = rows.join(groups.hint("merge"), "seq", "left")
     single = marked.where("group IS NULL").drop("seq", "group").withColumn("merged", F.lit(1))
     together = marked.where("group IS NOT NULL").groupBy("group").agg(F.sort_array(F.collect_list(F.struct("seq", *rows.drop("seq").columns))).alias("rows"))
     schema = single.schema

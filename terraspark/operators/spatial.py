@@ -12,13 +12,13 @@ from ..functions.geo import haversine_m
 EARTH_M = 6_371_000.0
 
 
-def range_join(left: DataFrame, right: DataFrame, radius_m: float, boxed: bool = True) -> DataFrame:
+def range_join(left: DataFrame, right: DataFrame, radius_m: float, boxed: bool = True, merge: bool = False) -> DataFrame:
     """Pairs of left and right rows at most radius_m apart, with distance_m. Both have lat and lon; right's come as r_lat and r_lon.
 
     Cells are as wide as the box of the radius in degrees. boxed asks for the box itself, whose partners lie in the nine
     cells around a point. Without it the circle decides alone: it reaches further east and west the further a point is
     from the equator, and left rows are sent to as many cells as that takes. The join is an equi join on cells whose
-    large partitions Spark can split. Points on both sides of the date line are no partners.
+    large partitions Spark can split; with merge no side is broadcast. Points on both sides of the date line are no partners.
     """
     size = radius_m / (METRES_PER_DEGREE if boxed else METRES_PER_DEGREE - 200)
     cell = lambda v: F.floor(F.col(v) / size)
@@ -28,7 +28,7 @@ def range_join(left: DataFrame, right: DataFrame, radius_m: float, boxed: bool =
     low, high = (cell("lon") - 1, cell("lon") + 1) if boxed else (F.floor((F.col("lon") - reach) / size), F.floor((F.col("lon") + reach) / size))
     sent = left.withColumn("__cell", F.explode(F.flatten(F.transform(F.sequence(low, high), around))))
     dealt = right.withColumnsRenamed({"lat": "r_lat", "lon": "r_lon"}).withColumn("__cell", F.struct(F.floor(F.col("r_lat") / size).alias("a"), F.floor(F.col("r_lon") / size).alias("b")))
-    pairs = sent.join(dealt, "__cell").drop("__cell")
+    pairs = sent.join(dealt.hint("merge") if merge else dealt, "__cell").drop("__cell")
     if boxed:
         pairs = pairs.where((F.abs(F.col("lat") - F.col("r_lat")) <= size) & (F.abs(F.col("lon") - F.col("r_lon")) <= size))
     return pairs.withColumn("distance_m", haversine_m("lat", "lon", "r_lat", "r_lon")).where(F.col("distance_m") <= radius_m)
